@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .near_duplicates import op10_minhash_near_dedup
 from .quality_rules import op5_quality_rules
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}
