@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .near_duplicates import op10_minhash_near_dedup
 from .quality_rules import op5_quality_rules
+from .secret_scan import op9_secret_scan
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
