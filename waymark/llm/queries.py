@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
+from .packing import op6_concat_and_cut
 from .quality_rules import op5_quality_rules
 from .secret_scan import op9_secret_scan
 
 QUERIES = {
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_concat_and_cut": op6_concat_and_cut,
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
