@@ -5,9 +5,9 @@ partitions, summed up in order, turn those numbers into global offsets. The seco
 several windows gives a boundary record for each. So every id lies in one piece, sequences are full but for the last,
 and no task sees more than its own documents.
 
-Tokenising: the vocabulary's normalizer and pre-tokenizer cut a text into units that are encoded alone, so the ids of a
-unit are looked up where it has occurred before; new units are encoded together by the library. Texts with characters
-outside the range where this is known to equal the library's own cutting go to the library whole.
+Tokenising: the vocabulary's normalizer and pre-tokenizer cut a text at blanks at least, so words are encoded alone, and
+the ids of a word are looked up where it has occurred before; new words are encoded together by the library. Texts with
+characters outside the range where this is known to equal the library's own cutting go to the library whole.
 
 Cases: a null or empty text has only the end id; a text longer than a sequence spans several; repeated rows are packed
 each; an empty table gives no pieces; other columns are not read.
@@ -16,6 +16,7 @@ each; an empty table gives no pieces; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,7 @@ from .near_duplicates import buffers_of
 SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 400_000  # units; beyond, the cache starts anew
-
-#: The pre-tokenizer's pattern, which a fixed vocabulary file prescribes.
-UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CACHED = 1_000_000  # words; beyond, the cache starts anew
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,52 +47,45 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.find = regex.compile(UNITS).findall
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, units: list[str]) -> None:
-        for one in self.library.encode_batch_fast(units, add_special_tokens=False):
-            ids, n = one.ids, len(self.number)
-            if n == len(self.begin):
-                self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.number[units[n - self._first]] = n
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, new])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
 
     def encode(self, texts: list[str], plain: np.ndarray) -> list[np.ndarray]:
-        """plain: whether a text has only characters that are cut here as the library cuts them."""
+        """plain: whether a text has only characters that are cut at blanks here as the library cuts them."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         rest = [i for i in range(len(texts)) if not plain[i]]
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
         if len(self.number) > CACHED:
             self._clear()
-        cut = {i: self.find(texts[i].lower()) for i in range(len(texts)) if plain[i]}
-        new = set().union(*cut.values()) - self.number.keys() if cut else set()
+        own = [i for i in range(len(texts)) if plain[i]]
+        cut = [texts[i].lower().split() for i in own]
+        words = list(chain.from_iterable(cut))
+        new = list(set(words) - self.number.keys())
         if new:
-            self._first = len(self.number)
-            self._learn(list(new))
-        for i, units in cut.items():
-            k = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-            size = self.size[k]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out[i] = self.flat[np.repeat(self.begin[k] - ends + size, size) + np.arange(total)]
+            self._learn(new)
+        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        size = self.begin[k + 1] - self.begin[k]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.begin[k] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+        for n, i in enumerate(own):
+            out[i] = flat[bounds[n] : bounds[n + 1]]
         return out
 
 
