@@ -7,8 +7,10 @@ from .near_duplicates import op10_minhash_near_dedup
 from .packing import op6_concat_and_cut
 from .quality_rules import op5_quality_rules
 from .secret_scan import op9_secret_scan
+from .sharding import op3_label_propagation
 
 QUERIES = {
+    "op3_label_propagation": op3_label_propagation,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_concat_and_cut": op6_concat_and_cut,
