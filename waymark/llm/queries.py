@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
 from .packing import op6_concat_and_cut
+from .quality_model import op7_attention_quality
 from .quality_rules import op5_quality_rules
 from .secret_scan import op9_secret_scan
 from .sharding import op3_label_propagation
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_label_propagation": op3_label_propagation,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_concat_and_cut": op6_concat_and_cut,
+    "op7_attention_quality": op7_attention_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
