@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .license_scan import op8_license_scan
 from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
 from .packing import op6_concat_and_cut
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_concat_and_cut": op6_concat_and_cut,
     "op7_attention_quality": op7_attention_quality,
+    "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
