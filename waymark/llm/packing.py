@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, documents
-from .near_duplicates import buffers_of
+from .near_duplicates import buffers_of, pieces
 
 SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 1_000_000  # words; beyond, the cache starts anew
+CACHED = 250_000  # words; beyond, those that have come once are forgotten
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,6 +56,18 @@ class Encoder:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the words that have come again since the last time, and half of the room at most."""
+        bound = max(2, int(np.partition(self.seen, -CACHED // 2)[-CACHED // 2]))
+        kept = [(w, i) for w, i in self.number.items() if self.seen[i] >= bound][: CACHED // 2]
+        old = np.array([i for _, i in kept], np.int64)
+        size = self.begin[old + 1] - self.begin[old]
+        begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.flat = self.flat[np.repeat(self.begin[old] - begin[:-1], size) + np.arange(begin[-1])]
+        self.begin, self.seen = begin, np.ones(len(old), np.int64)
+        self.number = {w: n for n, (w, _) in enumerate(kept)}
 
     def _learn(self, words: list[str]) -> None:
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -64,6 +76,7 @@ class Encoder:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, new])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str], plain: np.ndarray) -> list[np.ndarray]:
         """plain: whether a text has only characters that are cut at blanks here as the library cuts them."""
@@ -72,7 +85,7 @@ class Encoder:
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
         if len(self.number) > CACHED:
-            self._clear()
+            self._forget()
         own = [i for i in range(len(texts)) if plain[i]]
         cut = [texts[i].lower().split() for i in own]
         words = list(chain.from_iterable(cut))
@@ -80,6 +93,7 @@ class Encoder:
         if new:
             self._learn(new)
         k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.seen += np.bincount(k, minlength=len(self.seen))
         size = self.begin[k + 1] - self.begin[k]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(self.begin[k] - ends[:-1], size) + np.arange(ends[-1])]
@@ -95,20 +109,16 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoded(column: pa.Array, path: str, most: int = 1 << 20):
-    """Ids of each text of a column, the end id included."""
+    """Row ranges of a column, and for each range the ids of its texts, the end id included."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     encoder = _encoders[path]
     offsets, data = buffers_of(column)
-    odd = np.concatenate([[0], np.cumsum(~_ALONE[data])])
-    plain = odd[offsets[1:]] == odd[offsets[:-1]]
-    texts = column.fill_null("").to_pylist() if column.null_count else column.to_pylist()
-    start = 0
-    while start < len(texts):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
-        for ids in encoder.encode(texts[start:end], plain[start:end]):
-            yield np.append(ids, np.uint32(END))
-        start = end
+    for a, b in pieces(offsets, most):
+        odd = np.concatenate([[0], np.cumsum(~_ALONE[data[offsets[a] : offsets[b]]])])
+        at = offsets[a : b + 1] - offsets[a]
+        texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+        yield a, b, [np.append(ids, np.uint32(END)) for ids in encoder.encode(texts, odd[at[1:]] == odd[at[:-1]])]
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -117,12 +127,12 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def each(batches):
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            all_ids = list(encoded(batch.column(1), path))
-            sizes = np.array([len(x) for x in all_ids], np.int64)
-            first = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            ids = pa.array([x.astype("<u4").tobytes() for x in all_ids], pa.large_binary()).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sizes), part, np.int64)), pa.array(first), pa.array(sizes), ids], names=["doc_id", "part", "first", "n", "ids"])
+            for a, b, all_ids in encoded(batch.column(1), path):
+                sizes = np.array([len(x) for x in all_ids], np.int64)
+                first = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                ids = pa.array([x.astype("<u4").tobytes() for x in all_ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(len(sizes), part, np.int64)), pa.array(first), pa.array(sizes), ids], names=["doc_id", "part", "first", "n", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(each, "doc_id long, part long, first long, n long, ids binary")
 
