@@ -51,6 +51,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -70,11 +73,18 @@ class Encoder:
         self.number = {w: n for n, (w, _) in enumerate(kept)}
 
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, new])
+        """Words of letters alone are one unit each, and the last id of a unit ends a word: they are encoded as one text."""
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        joined = np.array(self.library.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
+        size = np.diff(np.flatnonzero(self.ends[joined]), prepend=-1)
+        if len(size) != len(plain):  # not so with this vocabulary
+            plain, other, joined, size = [], words, joined[:0], size[:0]
+        ids = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
+        size = np.concatenate([size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        rest = np.fromiter(chain.from_iterable(ids), np.uint32, int(size[len(plain) :].sum()))
+        self.number.update(zip(chain(plain, other), range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, joined, rest])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
@@ -122,7 +132,7 @@ def encoded(column: pa.Array, path: str, most: int = 1 << 20):
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, part (its partition), first (ids of the partition before it), ids (little-endian 32-bit)."""
+    """Per document: doc_id, part (its partition), first (ids of the partition before it), n, ids (little-endian, 16 bits each if all fit, else 32)."""
 
     def each(batches):
         part, before = TaskContext.get().partitionId(), 0
@@ -131,7 +141,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 sizes = np.array([len(x) for x in all_ids], np.int64)
                 first = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
-                ids = pa.array([x.astype("<u4").tobytes() for x in all_ids], pa.binary())
+                ids = pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in all_ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(len(sizes), part, np.int64)), pa.array(first), pa.array(sizes), ids], names=["doc_id", "part", "first", "n", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(each, "doc_id long, part long, first long, n long, ids binary")
@@ -139,11 +149,12 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
 def _cut(batches):
     for batch in batches:
-        doc, place, ids = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+        doc, place, sizes, ids = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
         owner, rows = [], [[], [], [], [], [], []]
-        for i, (at, raw) in enumerate(zip(place, ids, strict=True)):
-            data = memoryview(raw.as_buffer())
-            n, start = len(data) // 4, 0
+        for i, (at, n, raw) in enumerate(zip(place, sizes, ids, strict=True)):
+            stored = memoryview(raw.as_buffer())
+            data = stored if len(stored) == 4 * n else np.frombuffer(stored, "<u2").astype("<u4").tobytes()
+            start = 0
             while start < n:
                 sequence, offset = divmod(at + start, SEQUENCE)
                 length = min(SEQUENCE - offset, n - start)
@@ -168,7 +179,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         offsets.append((r["part"], ahead))
         ahead += r["n"]
     base = docs.sparkSession.createDataFrame(offsets, "part long, ahead long")
-    placed = held.join(F.broadcast(base), "part").select("doc_id", (F.col("first") + F.col("ahead")).alias("at"), "ids")
+    placed = held.join(F.broadcast(base), "part").select("doc_id", (F.col("first") + F.col("ahead")).alias("at"), "n", "ids")
     return placed.mapInArrow(_cut, ", ".join(f"{c} long" for c in PIECE.split()))
 
 
