@@ -30,6 +30,7 @@ from .near_duplicates import buffers_of, pieces
 SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
+MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
 CACHED = 250_000  # words; beyond, those that have come once are forgotten
 
 
@@ -73,13 +74,25 @@ class Encoder:
         self.number = {w: n for n, (w, _) in enumerate(kept)}
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters alone are one unit each, and the last id of a unit ends a word: they are encoded as one text."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        joined = np.array(self.library.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        size = np.diff(np.flatnonzero(self.ends[joined]), prepend=-1)
-        if len(size) != len(plain):  # not so with this vocabulary
-            plain, other, joined, size = [], words, joined[:0], size[:0]
+        """Words of letters, with or without marks behind, are one or two units, and the last id of a unit ends a word:
+        they are encoded in texts of many. The others are encoded each."""
+        plain, text, units, other = [], [], [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                plain.append(w)
+                text.append(stem)
+                if len(stem) < len(w):
+                    text.append(w[len(stem) :])
+                units.append(1 if len(stem) == len(w) else 2)
+            else:
+                other.append(w)
+        short = [" ".join(text[i : i + 64]) for i in range(0, len(text), 64)]  # the library's time per word is least there
+        joined = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(short, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.ends[joined])
+        if len(ends) != len(text):  # not so with this vocabulary
+            plain, units, other, joined = [], [], words, joined[:0]
+        size = np.diff(ends[np.cumsum(units, dtype=np.int64) - 1], prepend=-1) if plain else np.zeros(0, np.int64)
         ids = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
         size = np.concatenate([size, np.fromiter(map(len, ids), np.int64, len(ids))])
         rest = np.fromiter(chain.from_iterable(ids), np.uint32, int(size[len(plain) :].sum()))
@@ -99,7 +112,7 @@ class Encoder:
         own = [i for i in range(len(texts)) if plain[i]]
         cut = [texts[i].lower().split() for i in own]
         words = list(chain.from_iterable(cut))
-        new = list(set(words) - self.number.keys())
+        new = list(set(words).difference(self.number))
         if new:
             self._learn(new)
         k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
