@@ -15,6 +15,7 @@ each; an empty table gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from itertools import chain
 
@@ -31,7 +32,7 @@ SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
-CACHED = 250_000  # words; beyond, those that have come once are forgotten
+CACHED = 350_000  # words; beyond, those that have come once are forgotten
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,6 +53,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # lower-case ASCII words pass the normalizer and the byte mapping unchanged: for them cutting at blanks is enough
+        bare = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -73,22 +77,24 @@ class Encoder:
         self.begin, self.seen = begin, np.ones(len(old), np.int64)
         self.number = {w: n for n, (w, _) in enumerate(kept)}
 
+    def _ids(self, tokenizer, words: list[str]) -> np.ndarray:
+        texts = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]  # the time per word is least there
+        return np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+
     def _learn(self, words: list[str]) -> None:
         """Words of letters, with or without marks behind, are one or two units, and the last id of a unit ends a word:
         they are encoded in texts of many. The others are encoded each."""
-        plain, text, units, other = [], [], [], []
+        plain = [w for w in words if w.isalpha()]
+        marked, other = [], []
         for w in words:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                plain.append(w)
-                text.append(stem)
-                if len(stem) < len(w):
-                    text.append(w[len(stem) :])
-                units.append(1 if len(stem) == len(w) else 2)
-            else:
-                other.append(w)
-        short = [" ".join(text[i : i + 64]) for i in range(0, len(text), 64)]  # the library's time per word is least there
-        joined = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(short, add_special_tokens=False)), np.uint32)
+            if not w.isalpha():
+                (marked if w.rstrip(MARKS).isalpha() else other).append(w)
+        pairs = [x for w in marked for stem in (w.rstrip(MARKS),) for x in (stem, w[len(stem) :])]
+        plain.sort(key=str.isascii)  # those beyond ASCII first
+        beyond = sum(1 for w in plain if not w.isascii())
+        text, units = plain + pairs, [1] * len(plain) + [2] * len(marked)
+        joined = np.concatenate([self._ids(self.library, plain[:beyond]), self._ids(self.bare, plain[beyond:]), self._ids(self.library, pairs)])
+        plain = plain + marked
         ends = np.flatnonzero(self.ends[joined])
         if len(ends) != len(text):  # not so with this vocabulary
             plain, units, other, joined = [], [], words, joined[:0]
