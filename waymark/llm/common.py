@@ -104,3 +104,12 @@ def bucketed_ranks(df: DataFrame, group: list[str], bucket: str, order: list[Col
     inner = keyed.withColumn("__w", F.coalesce(F.sum("__n").over(within), F.lit(0)))
     out = inner.join(offsets, [*group, bucket])
     return out.withColumn("before", F.col("__w") + F.col("__o")).drop("__n", "__w", "__o")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished rounds now; it does so when the driver collects its garbage, which in a
+    short loop over wide rows may come too late for the disks."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,6 +6,7 @@ from .language_id import op1_language_id
 from .license_scan import op8_license_scan
 from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
+from .nearest_neighbours import op2_nn_descent
 from .packing import op6_concat_and_cut
 from .quality_model import op7_attention_quality
 from .quality_rules import op5_quality_rules
@@ -14,6 +15,7 @@ from .sharding import op3_label_propagation
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_nn_descent": op2_nn_descent,
     "op3_label_propagation": op3_label_propagation,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_quality_rules": op5_quality_rules,
