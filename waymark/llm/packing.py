@@ -32,7 +32,7 @@ SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
-CACHED = 350_000  # words; beyond, those that have come once are forgotten
+CACHED = 300_000  # words; beyond, those that have come once are forgotten
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,10 +66,12 @@ class Encoder:
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)
 
-    def _forget(self) -> None:
-        """Keeps the words that have come again since the last time, and half of the room at most."""
-        bound = max(2, int(np.partition(self.seen, -CACHED // 2)[-CACHED // 2]))
-        kept = [(w, i) for w, i in self.number.items() if self.seen[i] >= bound][: CACHED // 2]
+    def forget(self, room: int) -> None:
+        """Keeps the words that have come again since the last time, the commonest, and no more than room."""
+        if len(self.number) <= room:
+            return
+        bound = max(2, int(np.partition(self.seen, -room)[-room]))
+        kept = [(w, i) for w, i in self.number.items() if self.seen[i] >= bound][:room]
         old = np.array([i for _, i in kept], np.int64)
         size = self.begin[old + 1] - self.begin[old]
         begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -114,7 +116,7 @@ class Encoder:
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
         if len(self.number) > CACHED:
-            self._forget()
+            self.forget(CACHED // 2)
         own = [i for i in range(len(texts)) if plain[i]]
         cut = [texts[i].lower().split() for i in own]
         words = list(chain.from_iterable(cut))
@@ -162,6 +164,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 before += int(sizes.sum())
                 ids = pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in all_ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(len(sizes), part, np.int64)), pa.array(first), pa.array(sizes), ids], names=["doc_id", "part", "first", "n", "ids"])
+        if path in _encoders:
+            _encoders[path].forget(CACHED // 8)  # the worker stays, for tasks of other kinds as well
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(each, "doc_id long, part long, first long, n long, ids binary")
 

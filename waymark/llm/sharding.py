@@ -1,13 +1,14 @@
 """Sharding by balanced label propagation, with built-in functions only.
 
 Documents are linked with those of equal text. Every document starts in a shard by hash; in each round linked documents
-move to the shard where most of their neighbours are, as far as the quotas of the shards admit; then documents without
-a link fill all shards up to counts at most one apart (the law `rows`).
+move to the shard where most of their neighbours are, as far as the quotas of the shards admit (those of a group larger
+than a quota, to the several shards it needs); then documents without a link fill all shards up to counts at most one
+apart (the law `rows`).
 
 Members of a group that sit in one shard see the same neighbours, so they are one row of the state: (group, shard,
 count). A round joins these cells with the votes of their group and the room of the shards; it is bounded by shards x
 groups rows, and a group of any size is SHARDS rows. Quotas are prefix sums over the wishes in two passes, so no task
-gets all wishes for a shard. A group larger than a shard's quota fills a shard and goes on to its next.
+gets all wishes for a shard.
 
 At the end each group's counts become ranges of ranks; a document's rank is its place within (group, cell), where a
 cell is one of CELLS hash parts, so a group with a third of all rows is CELLS windows.
@@ -26,7 +27,7 @@ from .common import Tables, documents
 
 SHARDS = 16
 CELLS = 1024
-ROUNDS = 6
+ROUNDS = 8
 PARTS = 1024
 SEED = 5
 
@@ -60,20 +61,25 @@ def ahead(rows: DataFrame, by: list[str], part: Column, order: list[Column], amo
 def propagate(cells: DataFrame, quotas: list[int], tables: Tables, rounds: int = ROUNDS) -> DataFrame:
     """cells: g1, g2, shard, n. The same after the rounds; no shard holds more than its quota but by its own start.
 
-    A cell wishes to move to the shard with room where most of its group is, if that is more than where it sits itself
-    (between equals, to the lower shard, so that two cells never swap). It moves as far as the room there goes.
+    A group needs m = ceil(rows / quota) shards, and its m largest cells stay. Each other cell wishes to move to a larger
+    one whose shard has room, one of the first m of these by turns (of equal cells one whose shard has room, then the
+    lower shard, counts as larger, so two cells never swap). It moves as far as the room there goes.
     """
-    group = Window.partitionBy("g1", "g2")
+    group, most = Window.partitionBy("g1", "g2"), max(1, *quotas)
     for _ in range(rounds):
         used = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         room = [max(0, q - used.get(s, 0)) for s, q in enumerate(quotas)]
         if not any(room):
             break
         free = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard") + 1)
-        vote = F.when(free > 0, F.struct("n", (-F.col("shard")).alias("low")))
-        best = cells.withColumn("best", F.max(vote).over(group))
-        wish = (F.col("best.n") > F.col("n")) | (F.col("best.n") == F.col("n")) & (-F.col("best.low") < F.col("shard"))
-        wanted = best.withColumn("to", F.when(F.coalesce(wish, F.lit(False)) & (F.col("shard") != -F.col("best.low")), -F.col("best.low")))
+        # a group's cells, the largest first: as many as there are shards at most
+        order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), (free == 0).alias("full"), "shard", free.alias("free"))).over(group))
+        seen = cells.withColumns({"order": order, "need": F.ceil(F.sum("n").over(group) / most).cast("int")})
+        seen = seen.withColumn("place", F.array_position(F.transform("order", lambda x: x["shard"]), F.col("shard")).cast("int"))
+        larger = F.filter(F.slice("order", F.lit(1), F.col("place") - 1), lambda x: x["free"] > 0)
+        seen = seen.withColumn("larger", F.slice(larger, F.lit(1), F.col("need")))
+        turn = F.get("larger", F.pmod(F.col("place"), F.greatest(F.lit(1), F.size("larger"))))["shard"]
+        wanted = seen.withColumn("to", F.when(F.col("place") > F.col("need"), turn))
         wanted = tables.put(wanted.select("g1", "g2", "shard", "n", "to"))
         moving = ahead(wanted.where("to is not null"), ["to"], F.pmod(F.xxhash64("g1", "g2"), F.lit(PARTS)), ["g1", "g2", "shard"], "n")
         there = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to") + 1)
