@@ -53,18 +53,18 @@ def _expansions() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
-#: The expansions that occur in addresses; a chain of replacements for all of them would cost more than it finds.
+#: The expansions that occur in addresses, beside those of kana; a chain of replacements for all of them would cost more than it finds.
 COMMON = "ﬀﬁﬂﬃﬄﬅﬆĳĲŉǆǅǄǉǈǇǌǋǊ½¼¾…№℡™㎡"
 
 
 def normalize(text: Column) -> Column:
     """normalize_py as an expression: one translate for characters that fold to one, replacements for the others.
 
-    Exact for text whose multi-character foldings are in COMMON or LIGATURES, and without Hangul.
+    Exact for text whose multi-character foldings are kana or in COMMON or LIGATURES, and without Hangul.
     """
     source, target = _translation()
     out = F.translate(text, source, target)
-    many = {c: f for c, f in _expansions() if c in COMMON} | LIGATURES
+    many = {c: f for c, f in _expansions() if c in COMMON or "\u3040" <= c <= "\u30ff"} | LIGATURES
     # one test spares plain text the replacements; they are a fold over a literal array, for the code of a chain grows too large
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in many.items()])
     spelled = F.aggregate(pairs, out, lambda acc, p: F.replace(acc, p["c"], p["f"]))
