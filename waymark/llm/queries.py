@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
-from .license_scan import op8_license_scan
+from .license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, op8_license_scan
 from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
 from .nearest_neighbours import op2_nn_descent
@@ -25,4 +25,51 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    holds = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
+    return f"list_filter(range(0, greatest(len(w) - {len(words) - 1}, 0)), lambda i: {holds})"
+
+
+_NEAR = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE
+         list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b USING (g) WHERE a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.c)
+SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {_list(sorted(set(t.split())))})" for label, t in TEMPLATES)
+_LICENSE = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+base AS (SELECT doc_id, w, {", ".join(f"{_places(p)} AS p{k}" for k, (p, _) in enumerate(PHRASES))} FROM words),
+found AS (SELECT *, list_concat({", ".join(f"p{k}" for k in range(len(PHRASES)))}) AS starts_at,
+  list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS own FROM base),
+templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
+blocks AS (SELECT doc_id, unnest(range(-1, len(w) // {STRIDE} + 1)) AS b, w FROM words),
+sliced AS (SELECT doc_id, w[greatest(b * {STRIDE}, 0) + 1:b * {STRIDE} + {BLOCK}] AS w FROM blocks),
+met AS (SELECT doc_id, label, len(list_intersect(t, w)) / len(t) AS share FROM sliced, templates
+  WHERE len(list_intersect(t, w)) >= ceil({THRESHOLD} * len(t))),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts_at) AS BIGINT) AS n_base, list_min(starts_at) AS first_word, list_max(starts_at) AS last_word,
+  array_to_string(list_sort(list_distinct(own)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(own, coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(starts_at) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+FROM found s LEFT JOIN more USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_license_scan": _LICENSE, "op10_minhash_near_dedup": _NEAR}
