@@ -67,20 +67,21 @@ def exponent(sources: DataFrame, entropy: float | None, max_repeats: float | Non
 def plan(docs: DataFrame, tables: Tables, entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None) -> DataFrame:
     """Per source: source, tokens, share, weight, quota (tokens to take), repeats. docs: source, tokens."""
     totals = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    whole = totals.agg(F.sum("tokens").alias("all"))
-    sources = tables.put(totals.join(F.broadcast(whole)).select("source", "tokens", F.coalesce(F.try_divide("tokens", "all"), F.lit(0.0)).alias("share")))  # whole: one row
+    totals = tables.put(totals)
+    whole = totals.agg(F.sum("tokens")).head()[0] or 0
+    sources = tables.put(totals.select("source", "tokens", (F.col("tokens") / F.lit(max(1, whole))).alias("share")))
     alpha = exponent(sources, entropy, max_repeats)
     mass = F.when(F.col("tokens") > 0, F.pow("share", F.lit(alpha))).otherwise(F.lit(0.0))
-    norm = sources.agg(F.sum(mass).alias("norm"), F.max(F.try_divide(F.col("tokens").cast("double"), mass)).alias("once"))
-    weighed = sources.join(F.broadcast(norm))
-    wanted = F.lit(float(budget)) if budget is not None else F.col("once") * F.col("norm")
-    quota = F.coalesce(F.round(F.try_divide(mass, F.col("norm")) * wanted), F.lit(0)).cast("long")
+    row = sources.agg(F.sum(mass).alias("norm"), F.max(F.try_divide(F.col("tokens").cast("double"), mass)).alias("once")).head()
+    norm, once = row["norm"] or 1.0, row["once"] or 0.0
+    wanted = float(budget) if budget is not None else once * norm
+    quota = F.round(mass / F.lit(norm) * F.lit(wanted)).cast("long")
     quota = quota if budget is not None else F.greatest(quota, F.col("tokens"))
-    return weighed.select(
+    return sources.select(
         "source",
         "tokens",
         "share",
-        F.coalesce(F.try_divide(mass, F.col("norm")), F.lit(0.0)).alias("weight"),
+        (mass / F.lit(norm)).alias("weight"),
         quota.alias("quota"),
         F.when(F.col("tokens") > 0, quota / F.col("tokens")).otherwise(F.lit(1.0)).alias("repeats"),
     )
