@@ -141,16 +141,16 @@ def _ranked(found: DataFrame, name: str, query: str, limit: int) -> DataFrame:
 def _prefix_or_contains(items: DataFrame, norm: Column, prefixes: list[str], query: str, same: str) -> DataFrame:
     """Rows with one of the prefixes; if they are fewer than three, also those that contain the query.
 
-    One scan marks both kinds and one window over a constant counts the first, at most up to three.
+    Whether they are fewer is a small job of its own, which reads until it has three.
     """
     starts = F.lit(False)
     for p in prefixes:
         starts = starts | norm.startswith(p)
-    marked = items.withColumn("__starts", starts).where(F.col("__starts") | F.contains(norm, F.lit(query)))
-    few = marked.where("__starts").select(F.lit(1).alias("one")).limit(3).agg((F.count("*") < 3).alias("__few"))
-    names = marked.where("__starts").select(F.col(same).alias("__same")).distinct()
-    rest = marked.where("not __starts").join(F.broadcast(few)).where("__few").join(names, F.col(same) == F.col("__same"), "left_anti").drop("__few")
-    return marked.where("__starts").unionByName(rest).drop("__starts")
+    found = items.where(starts)
+    if found.limit(3).count() == 3:
+        return found
+    names = found.select(F.col(same).alias("__same"))  # two at most
+    return found.unionByName(items.where(~starts & F.contains(norm, F.lit(query))).join(names, F.col(same) == F.col("__same"), "left_anti"))
 
 
 def search_streets(streets: DataFrame, query: str, cc: str | None = None, limit: int = 15, dictionary: Dictionary = DEFAULT) -> DataFrame:

@@ -378,9 +378,9 @@ def jp_zone_and_specificity(addr, spark, sf_dir):
 
 @query(f", s AS ({STREETS}), c AS (SELECT list(DISTINCT tile) AS ct FROM addr WHERE city = 'BUILDING 1') SELECT country, street_lower, CAST(len(list_intersect(tiles, ct)) AS INT) AS inside, CAST(len(list_filter(tiles, lambda x: NOT list_contains(ct, x))) AS INT) AS outside FROM s, c")
 def array_intersect_except(addr, spark, sf_dir):
-    city = addr.where("city = 'BUILDING 1'").agg(F.collect_set("tile").alias("ct"))
-    s = indexes.street_index(addr).join(F.broadcast(city))  # one row
-    return s.select("country", "street_lower", F.size(F.array_intersect("tiles", "ct")).alias("inside"), F.size(F.array_except("tiles", "ct")).alias("outside"))
+    city = addr.where("city = 'BUILDING 1'").select("tile").distinct().collect()  # the tiles of one city
+    ct = F.array(*[F.lit(r["tile"]) for r in city]).cast("array<string>")
+    return indexes.street_index(addr).select("country", "street_lower", F.size(F.array_intersect("tiles", ct)).alias("inside"), F.size(F.array_except("tiles", ct)).alias("outside"))
 
 
 @query("SELECT address_id, CASE WHEN address_id >= 1000000000 THEN format('{:.1f}B', address_id / 1e9) WHEN address_id >= 1000000 THEN format('{:.1f}M', address_id / 1e6) WHEN address_id >= 1000 THEN format('{:.1f}K', address_id / 1e3) ELSE CAST(address_id AS STRING) END AS compact, replace(replace(replace(replace(concat('<', street, '>&\"'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM addr WHERE address_id % 1000 != 250 AND address_id % 100 != 50")
