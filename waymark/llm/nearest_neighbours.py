@@ -223,6 +223,23 @@ def _expand(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *_lists([s.field(0).to_numpy(), far.astype(np.float32)], size)], names=["id", "near", "far"])
 
 
+def _enter(entries):
+    """Rows: id, code, scale. Out: id, near, far: the entries by distance. entries: ENTRIES rows at most."""
+    ids = np.array([r["id"] for r in entries], np.int64)
+    code = np.array([np.frombuffer(r["code"], np.int8) * r["scale"] for r in entries], np.float32)
+
+    def each(batches):
+        for batch in batches:
+            n = batch.num_rows if len(ids) else 0
+            q = _matrix(batch.column(1)).astype(np.float32) * batch.column(2).to_numpy()[:, None]
+            far = 1 - q @ code.T if n else np.zeros((0, len(ids)))
+            by = np.argsort(far, axis=1, kind="stable")
+            near = _lists([ids[by].ravel(), np.take_along_axis(far, by, axis=1).astype(np.float32).ravel()], np.full(batch.num_rows, len(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *near], names=["id", "near", "far"])
+
+    return each
+
+
 def _advance(batches):
     """Rows: id, near, far, done (flags), found. Out: the BEAM best with flags; all that were there are done."""
     for batch in batches:
@@ -247,9 +264,8 @@ def search(lists: DataFrame, codes: DataFrame, queries: DataFrame, tables: Table
     coded = codes.select(F.col("id").alias("to"), "code", "scale")
     carried = edge.join(coded, "to").groupBy("id").agg(F.collect_list(F.struct("to", "code", "scale")).alias("m"))
     graph = tables.put(carried, codec="none")
-    entries = codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select(F.struct(F.col("id").alias("to"), "code", "scale").alias("x")).agg(F.collect_list("x").alias("m"))
-    stranger = q.join(lists.select("id"), "id", "left_anti").join(F.broadcast(entries))  # ENTRIES vectors in one row
-    begun = stranger.select("id", "code", "scale", "m").mapInArrow(_expand, "id long, near array<long>, far array<float>")
+    entries = codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id", "code", "scale").collect()
+    begun = q.join(lists.select("id"), "id", "left_anti").mapInArrow(_enter(entries), "id long, near array<long>, far array<float>")
     start = q.join(lists, "id").select("id", "near", "far").unionByName(begun)
     beam = tables.put(start.withColumn("fresh", F.transform("near", lambda x: F.lit(True))))
     for _ in range(STEPS):
