@@ -31,6 +31,7 @@ PROJECTED = 16
 HIDDEN = 16
 GATES = 8
 SAMPLE = 4000
+THIN = 4  # labels drawn for each sampled row; some are of documents not to learn from
 SAMPLE_BYTES = 40_000
 STEPS = 400
 DECAY = 1e-3
@@ -184,8 +185,11 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """docs: doc_id, text of the documents to learn from. The share of label 1 where there is nothing to tell apart."""
-    known = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(labels_of(labels), "doc_id")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).select("text", F.col("quality").cast("double").alias("y")).toArrow()
+    known = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+    marked = labels_of(labels)
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    thin = marked.where(draw * F.lit(marked.count()) <= THIN * SAMPLE)  # about THIN * SAMPLE labels, whatever there are
+    rows = known.join(thin, "doc_id").orderBy(draw, "doc_id", "text").limit(SAMPLE).select("text", F.col("quality").cast("double").alias("y")).toArrow()
     y = np.array(rows.column("y").to_pylist(), float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
