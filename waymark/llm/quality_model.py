@@ -33,7 +33,7 @@ GATES = 8
 SAMPLE = 4000
 THIN = 4  # labels drawn for each sampled row; some are of documents not to learn from
 SAMPLE_BYTES = 40_000
-STEPS = 400
+STEPS = 600
 DECAY = 1e-3
 SEED = 3
 
@@ -170,6 +170,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     n, batch = len(labels), 512
+    mean = {k: np.zeros_like(v) for k, v in model.p.items()}
     for step in range(1, STEPS + 1):
         pick = np.sort(rng.choice(n, min(n, batch), replace=False))
         size = np.diff(bounds)[pick]
@@ -180,6 +181,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             model.p[k] = model.p[k] - 0.02 * (1 - 0.9 * step / STEPS) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            mean[k] = mean[k] + (model.p[k] if step > STEPS // 2 else 0)
+    model.p = {k: v / (STEPS - STEPS // 2) for k, v in mean.items()}  # of the later half: steadier than the last
     return model
 
 
@@ -189,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     marked = labels_of(labels)
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     thin = marked.where(draw * F.lit(marked.count()) <= THIN * SAMPLE)  # about THIN * SAMPLE labels, whatever there are
-    rows = known.join(thin, "doc_id").orderBy(draw, "doc_id", "text").limit(SAMPLE).select("text", F.col("quality").cast("double").alias("y")).toArrow()
+    rows = known.join(F.broadcast(thin), "doc_id").orderBy(draw, "doc_id", "text").limit(SAMPLE).select("text", F.col("quality").cast("double").alias("y")).toArrow()
     y = np.array(rows.column("y").to_pylist(), float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
