@@ -3,7 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymark.functions.synonyms import DEFAULT, Dictionary, expand_direction, expand_street, languages_of, parse_lines, read_lines, street_prefixes
+from waymark.functions.synonyms import DEFAULT, Dictionary, expand_direction, expand_street, languages_of, parse_lines, read_entries, read_lines, street_prefixes
 from waymark.operators.parsing import chome_spellings, parse, parse_column
 from waymark.operators.predicates import address_filter, city_name
 
@@ -108,6 +108,10 @@ def test_dictionary_files(spark, tmp_path):
     rows = {r["canonical"]: r["variants"] for r in read_lines(spark, str(tmp_path / "street_types.txt")).collect()}
     assert rows["allee"] == ["all"] and rows["strasse"] in (["str"], ["x"]) and len(rows) == 2
     assert parse_lines(["# c", "Allée|all|all", ""]) == [["allee", "all"]]
+    (tmp_path / "street_types.json").write_text('{"_meta": {}, "entries": [{"canonical": "Allée", "variants": ["all", "allee"]}, {"canonical": "x", "variants": null}]}')
+    rows = {r["canonical"]: r["variants"] for r in read_entries(spark, str(tmp_path / "street_types.json")).collect()}
+    assert rows == {"allee": ["all"], "x": []}
+    assert Dictionary.from_groups({"fr": [["Allée", "all"]]}).expand("street", "FR", "ALL") == ["all", "allee"]
     d = Dictionary.of({"en": "lane|ln"}, {}, {"en": "ln"})
     assert d.expand("street", "US", "lane") == ["lane", "ln"] and d.expand("street", "US", "ln") == ["ln"]
 

@@ -72,6 +72,11 @@ def test_postcodes(cc, code, ok):
     assert bool(T.POSTCODE_RE[cc].match(code)) == ok
 
 
+def test_postcode_column(spark):
+    df = spark.createDataFrame([(cc, code) for cc, code, _ in POSTCODES] + [("GB", "12345")], "cc string, t string").coalesce(1)
+    assert [r[0] for r in df.select(T.whole_postcode(F.col("t"), F.col("cc"))).collect()] == [ok for *_, ok in POSTCODES] + [False]
+
+
 def test_partial_postcodes(spark):
     cases = [("US", "902", True), ("US", "902104", False), ("NL", "1016a", True), ("CA", "K1", True), ("CA", "K", False), ("GB", "12", True), ("GB", "a1", False), ("JP", "100-", True)]
     df = spark.createDataFrame([(cc, t) for cc, t, _ in cases], "cc string, t string").coalesce(1)

@@ -91,6 +91,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at("forms", 1).alias("canonical"), F.slice("forms", 2, 1 << 20).alias("variants")).dropDuplicates(["canonical"])
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Dictionary files in JSON, {"entries": [{"canonical": ..., "variants": [...]}]}: canonical, variants, as read_lines gives them."""
+    from .text import normalize
+
+    raw = spark.read.schema("entries array<struct<canonical:string,variants:array<string>>>").option("multiLine", True).json(path)
+    e = raw.select(F.explode("entries").alias("e")).select(F.concat(F.array("e.canonical"), F.coalesce("e.variants", F.array().cast("array<string>"))).alias("forms"))
+    clean = e.select(F.array_distinct(F.filter(F.transform("forms", lambda x: F.trim(normalize(x))), lambda x: x != "")).alias("forms")).where(F.size("forms") > 0)
+    return clean.select(F.element_at("forms", 1).alias("canonical"), F.slice("forms", 2, 1 << 20).alias("variants")).dropDuplicates(["canonical"])
+
+
 @dataclass
 class Dictionary:
     """Spellings by language. expand() gives what one token may also be written as."""
@@ -122,6 +132,12 @@ class Dictionary:
         tables = self.streets if kind == "street" else self.directions
         return list(dict.fromkeys([t, *(s for lang in langs for s in tables.get(lang, {}).get(t, []))]))
 
+    @classmethod
+    def from_groups(cls, streets: dict[str, list[list[str]]], directions: dict[str, list[list[str]]] | None = None, ambiguous: dict[str, list[str]] | None = None) -> "Dictionary":
+        """From groups of spellings by language, as collected from read_lines or read_entries."""
+        closed = lambda tables: {lang: cls._closed([[normalize_token(f) for f in g] for g in groups]) for lang, groups in (tables or {}).items()}
+        return cls(closed(streets), closed(directions), {lang: {normalize_token(t) for t in ts} for lang, ts in (ambiguous or {}).items()})
+
     def rows(self) -> list[tuple[str, str, str, list[str]]]:
         """lang, kind, form, variants: the dictionary as a table, for joins with many tokens."""
         return [(lang, kind, form, forms) for kind, tables in (("street", self.streets), ("direction", self.directions)) for lang, table in tables.items() for form, forms in table.items()]

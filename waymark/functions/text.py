@@ -183,17 +183,27 @@ PARTIAL_RE = {cc: re.compile(p, _flags) for cc, p in PARTIAL_POSTCODE.items()}
 DIGITS = re.compile(r"^\d+$", re.ASCII)
 
 
+def _by_country(text: Column, cc: Column, patterns: dict[str, str], other: Column) -> Column:
+    """Whether text matches the pattern of its country; one test for each distinct pattern."""
+    out = other
+    for pattern in dict.fromkeys(patterns.values()):
+        codes = [c for c, p in patterns.items() if p == pattern]
+        out = F.when(cc.isin(codes), text.rlike("(?i)" + pattern)).otherwise(out)
+    return out
+
+
+def whole_postcode(text: Column, cc: Column) -> Column:
+    """Whether the text is a postcode of the country; false for countries whose form is not known."""
+    return _by_country(F.trim(text), cc, POSTCODE, F.lit(False))
+
+
 def partial_postcode_py(text: str, cc: str) -> bool:
     return bool(PARTIAL_RE.get(cc, DIGITS).match(text.strip()))
 
 
 def partial_postcode(text: Column, cc: Column) -> Column:
     t = F.trim(text)
-    out = t.rlike(DIGITS.pattern)
-    for pattern in dict.fromkeys(PARTIAL_POSTCODE.values()):
-        codes = [c for c, p in PARTIAL_POSTCODE.items() if p == pattern]
-        out = F.when(cc.isin(codes), t.rlike("(?i)" + pattern)).otherwise(out)
-    return out
+    return _by_country(t, cc, PARTIAL_POSTCODE, t.rlike(DIGITS.pattern))
 
 
 def street_query_py(text: str, cc: str) -> str:
