@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: intermediate tables, let-bindings, heavy keys, prefix sums."""
+"""What the operators of this subpackage share: intermediate tables, let-bindings, words."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import atexit
 import uuid
 import weakref
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -89,23 +89,6 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def bucketed_ranks(df: DataFrame, group: list[str], bucket: str, order: list[Column], amount: Column | None = None) -> DataFrame:
-    """Adds `before`: the sum of `amount` (rows if None) over the rows ahead in the group, by bucket, then by order.
-
-    Two passes: a window within (group, bucket), and offsets from the totals of those. No task gets a whole group;
-    the totals are (groups x buckets) rows.
-    """
-    amount = F.lit(1).cast("long") if amount is None else amount
-    keyed = df.withColumn("__n", amount.cast("long"))
-    totals = keyed.groupBy(*group, bucket).agg(F.sum("__n").alias("__t"))
-    ahead = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, bucket, F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__o"))
-    within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = keyed.withColumn("__w", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    out = inner.join(offsets, [*group, bucket])
-    return out.withColumn("before", F.col("__w") + F.col("__o")).drop("__n", "__w", "__o")
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished rounds now; it does so when the driver collects its garbage, which in a
     short loop over wide rows may come too late for the disks."""

@@ -37,6 +37,7 @@ K = 64
 SHARED = 26
 LONG = 48
 BLOCK = 256
+BLOCK_SHINGLES = 300_000  # long texts make smaller blocks
 #: Estimates from K values deviate by up to about 0.055; a pair is dropped only far below the threshold.
 ESTIMATE = 0.45
 CHUNK = 1 << 20
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = checked(across.join(star, ["a", "b"], "left_anti"))
 
     # Long lists go by their head: two documents that share a long list share its head.
-    blocks = tables.put(blocks_of(rest.where(F.col("rows") > LONG).select("head", "rep", "comp").distinct()))
+    blocks = tables.put(blocks_of(rest.where(F.col("rows") > LONG).select("head", "rep", "comp").distinct().join(rep.groupBy("rep").agg(F.sum("n").alias("n")), "rep")))
     tables.drop(rest, star)
     spans = blocks.groupBy("head", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x, y = spans.alias("x"), spans.alias("y")
@@ -347,12 +348,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def blocks_of(family: DataFrame) -> DataFrame:
-    """Adds `block`: about BLOCK documents each. A component that fills blocks has its own; the small ones are dealt together."""
-    size = family.groupBy("head", "comp").agg(F.count("*").alias("size"))
-    small = size.where(F.col("size") < BLOCK).groupBy("head").agg(F.sum("size").alias("small"))
+    """Adds `block`: about BLOCK documents and BLOCK_SHINGLES shingles each at most. A component that fills blocks has its
+    own; the small ones are dealt together. family: head, rep, comp, n."""
+    fill = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    size = family.groupBy("head", "comp").agg(fill.alias("fill"))
+    small = size.where(F.col("fill") < 1).groupBy("head").agg(F.sum("fill").alias("small"))
     sized = family.join(size.join(small, "head", "left"), ["head", "comp"])
-    large = F.col("size") >= BLOCK
-    parts = F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / BLOCK)
+    large = F.col("fill") >= 1
+    parts = F.ceil(F.when(large, F.col("fill")).otherwise(F.col("small")))
     block = F.xxhash64(F.when(large, F.col("comp")).otherwise(F.lit(-1)), F.pmod(F.xxhash64("rep"), parts))
     return sized.select("head", "rep", "comp", block.alias("block"))
 
