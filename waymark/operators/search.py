@@ -249,17 +249,24 @@ def suggestion_rows(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.lit(kind).alias("type"), F.col(label).alias("label"), "tiles", "addr_count", city.alias("primary_city"))
 
 
-def suggest_streets_batch(streets: DataFrame, queries: DataFrame, limit: int = 15, block: int = 3) -> DataFrame:
+LONGEST = 100  # letters of a prefix
+
+
+def suggest_streets_batch(streets: DataFrame, queries: DataFrame, limit: int = 15) -> DataFrame:
     """The top streets of many queries. queries: query_id, country, query.
 
-    The first `block` letters are the equi-join key, so the join is hashed and the prefix only a filter; a hot key (many
-    streets with one beginning) is split by adaptive execution. Shorter queries would need their own key length.
+    Streets are keyed by their prefixes of the lengths that occur among the queries, so the join is an equality of country
+    and prefix. The top of a prefix is found once, however many queries ask for it, and a prefix that many streets
+    share (a street type) is cut to `limit` rows before it is shuffled to one task.
     """
-    q = queries.select("query_id", "country", F.lower("query").alias("q")).where(F.length("q") >= block)
-    keyed = streets.withColumn("__k", F.substring("street_lower", 1, block))
-    met = keyed.join(q.withColumn("__k", F.substring("q", 1, block)), ["country", "__k"]).where(F.startswith("street_lower", F.col("q")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("addr_count"), "street_lower"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "street_lower", "tiles", "addr_count", "primary_city")
+    q = queries.select("query_id", "country", F.lower("query").alias("prefix")).where(F.length("prefix").between(1, LONGEST))
+    lengths = sorted(r["n"] for r in q.select(F.length("prefix").alias("n")).distinct().collect())  # LONGEST rows at most
+    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
+    keyed = streets.withColumn("n", F.explode(F.filter(sizes, lambda n: n <= F.length("street_lower")))).withColumn("prefix", F.substr("street_lower", F.lit(1), F.col("n")))
+    asked = keyed.join(q.select("country", "prefix").distinct(), ["country", "prefix"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("country", "prefix").orderBy(F.desc("addr_count"), "street_lower"))
+    top = asked.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return q.join(top, ["country", "prefix"]).select("query_id", "rank", "street_lower", "tiles", "addr_count", "primary_city")
 
 
 def latest_per_session(events: DataFrame, session: str, at: str, columns: list[str]) -> DataFrame:
