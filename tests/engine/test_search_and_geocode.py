@@ -155,6 +155,20 @@ def test_batch_plans_are_hashed(spark, addr):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_batch_finds_what_single_queries_find(spark, addr):
+    texts = [(i, r.country, f"{r.number} {r.street}") for i, r in enumerate(addr.where("country in ('US', 'GB')").orderBy("address_id").limit(8).collect())]
+    texts.append((99, "US", "no number here"))
+    q = spark.createDataFrame(texts, "query_id long, country string, text string")
+    got = {}
+    for r in G.geocode_batch(addr, q, limit=50).collect():
+        got.setdefault(r.query_id, set()).add(r.address_id)
+    assert 99 not in got
+    for i, cc, text in texts[:-1]:
+        number, _, street = text.partition(" ")
+        want = addr.where((F.col("country") == cc) & (F.col("number") == number) & F.col("street_lower").startswith(street.lower()))
+        assert got[i] == {r.address_id for r in want.collect()}
+
+
 def test_limits_and_tiles(addr):
     with pytest.raises(ValueError):
         G.forward(addr, F.lit(True), 0)

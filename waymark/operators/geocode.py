@@ -10,6 +10,7 @@ from ..functions.synonyms import DEFAULT, Dictionary
 from ..functions.text import check, check_limit, check_number, normalize
 from .parsing import Address, parse, parse_column
 from .predicates import address_filter
+from .search import LONGEST
 
 FIELDS = ("full_address", "street", "number", "unit", "city", "region", "postcode", "lat", "lon", "cell")
 
@@ -42,18 +43,24 @@ def narrow_tiles(tiles: list[str], city_tiles: list[str] | None, only_city: bool
     return inside if only_city else inside + [t for t in tiles if t not in set(city_tiles)]
 
 
-def geocode_batch(addresses: DataFrame, queries: DataFrame, limit: int = 1) -> DataFrame:
-    """The best addresses for many texts. queries: query_id, country, text.
+def geocode_batch(addresses: DataFrame, queries: DataFrame, limit: int = 1, streets: DataFrame | None = None) -> DataFrame:
+    """The best addresses for many texts. queries: query_id, country, text. streets: country, street_norm, if there is an index.
 
-    Texts are parsed once, in Arrow batches. The join is on country and house number and the first four letters of the
-    normalised street, so that it is hashed; the street's prefix is a filter. Texts without street and number match nothing.
+    Texts are parsed once, in Arrow batches. Typed streets are prefixes of stored ones: they are resolved on the distinct
+    streets, keyed by all their prefixes, and then addresses join on country, street and number.
+    Both joins are equalities, so a common beginning (a street type) is no hot pair. Texts without street and number
+    match nothing.
     """
     p = queries.select("query_id", "country", parse_column(F.col("text"), F.col("country")).alias("a"))
-    q = p.select("query_id", "country", F.col("a.number").alias("number"), normalize(F.col("a.street")).alias("q"), F.replace(F.lower("a.postcode"), F.lit(" "), F.lit("")).alias("pc"))
-    q = q.where("number is not null and length(q) >= 4").withColumn("k", F.substring("q", 1, 4))
+    q = p.select("query_id", "country", F.col("a.number").alias("number"), normalize(F.col("a.street")).alias("prefix"), F.replace(F.lower("a.postcode"), F.lit(" "), F.lit("")).alias("pc"))
+    q = q.where(F.col("number").isNotNull() & F.length("prefix").between(1, LONGEST))
     norm = F.col("street_norm") if "street_norm" in addresses.columns else normalize(F.col("street_lower"))
-    stored = addresses.withColumn("__norm", norm).withColumn("k", F.substring("__norm", 1, 4))
-    met = stored.join(q, ["country", "number", "k"]).where(F.startswith("__norm", F.col("q")))
+    stored = addresses.withColumn("__norm", norm)
+    names = (streets.select("country", F.col("street_norm").alias("__norm")) if streets is not None else stored.select("country", "__norm")).distinct()
+    sizes = F.array(*map(F.lit, range(1, LONGEST + 1)))
+    keyed = names.withColumn("prefix", F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length("__norm")), lambda n: F.substr("__norm", F.lit(1), n))))
+    wanted = q.join(keyed, ["country", "prefix"])
+    met = stored.join(wanted, ["country", "__norm", "number"])
     met = met.where(F.col("pc").isNull() | (F.replace(F.lower("postcode"), F.lit(" "), F.lit("")) == F.col("pc")))
     order = Window.partitionBy("query_id").orderBy(F.length("__norm"), "address_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "address_id", *FIELDS)
