@@ -5,7 +5,8 @@ words, so that any STRIDE consecutive words lie in one block. A block meets a te
 template's words. The join is exact and goes by a prefix filter: template words are ordered by how many documents hold
 them, the rarest first, and a block that meets a template of m words with need = ceil(THRESHOLD * m) shares one of its
 first m - need + 1. The length filter asks that the block has `need` template words at all, the positional filter that
-as many can still follow in both orders. What passes is counted in full.
+as many can still follow in both orders. What passes is counted in full. In a block that meets a template and another
+that has all its words and more, the other is what counts.
 
 One pass over the texts keeps the places of template words, everything else reads those. Only the templates' words and
 prefixes are broadcast; they are fixed here. Keys are (row, block), so no key is hot however common a notice is.
@@ -50,6 +51,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form without prior written permission"),
 )
+#: Pairs of templates, by place, of which the first has some of the second's words only: in a block that meets both, the second is meant.
+WITHIN = [(a, b) for a, (_, x) in enumerate(TEMPLATES) for b, (_, y) in enumerate(TEMPLATES) if set(x.split()) < set(y.split())]
 VOCABULARY = sorted({w for text in [*(t for _, t in TEMPLATES), *(p for p, _ in PHRASES)] for w in text.split()})
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,6 +114,11 @@ def matches(places: DataFrame, tables: Tables) -> DataFrame:
     candidates = near.select("row", "block", "t").distinct()
     shared = candidates.join(blocks.select("row", "block", "rank"), ["row", "block"]).join(F.broadcast(member), ["t", "rank"])
     met = shared.groupBy("row", "block", "t").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("m").alias("m"), F.first("need").alias("need")).where("n >= need")
+    here = F.collect_set("t").over(Window.partitionBy("row", "block"))  # as many as there are templates at most
+    covered = F.lit(False)
+    for a, b in WITHIN:
+        covered = covered | ((F.col("t") == a) & F.array_contains("here", b))
+    met = met.withColumn("here", here).where(~covered)
     return met.groupBy("row", "label").agg(F.max(F.col("n") / F.col("m")).alias("score"))
 
 
