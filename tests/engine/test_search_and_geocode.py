@@ -1,11 +1,12 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import geocode as G
 from waymark.operators import search as S
 from waymark.plans import catalogue, indexes
-from waymark.sources.catalog import Catalog, add_step, bucket_groups, objects_of, plan_text, rows_of, run_tagged, update_last_step
+from waymark.sources.catalog import Catalog, add_step, bucket_groups, measure, objects_of, plan_text, rows_of, run_tagged, update_last_step
 from waymark.sources.parquet_meta import column_metadata, file_metadata
 
 SF = "/root/testdata/sf0.001"
@@ -211,6 +212,15 @@ def test_catalog(spark, addr, tmp_path):
     assert sum(f["num_rows"] for f in files) == c.table("number_index").count() and all(f["file_size"] > 0 for f in files)
     columns = {r["name"]: r for r in column_metadata(spark, c.path("number_index")).collect()}
     assert columns["street_lower"]["compression"] and columns["street_lower"]["bytes_per_value"] > 0
+    tries = []
+
+    def unsteady(df):
+        tries.append(df)
+        if len(tries) == 1:
+            raise PySparkException("lost")
+        return df.count()
+
+    assert c.retry("manifest", unsteady) == 25 and len(tries) == 2
     c.flush()
     with pytest.raises(ValueError):
         Catalog(spark, str(tmp_path / "nothing"))
@@ -220,6 +230,8 @@ def test_small_helpers(spark):
     df = spark.createDataFrame([("US", "t1", "02", 5), ("US", "t1", "01", 6), ("US", "t2", "_", 50)], "country string, tile string, bucket string, address_count int")
     assert [(r.tile, r.buckets) for r in bucket_groups(df, ["t1", "t2"]).collect()] == [("t2", ["_"]), ("t1", ["01", "02"])]
     assert rows_of(df.limit(1))[0] == df.columns and objects_of(df)[0]["country"] == "US" and "LocalTableScan" in plan_text(df) or plan_text(df)
+    m = measure(lambda: df.where("address_count > 5"), 1)
+    assert m["rows"] == 2 and m["cold_s"] > 0 and "address_count" in m["plan"]
     assert run_tagged(spark, "t", lambda: df.count()) == 3
     assert update_last_step(add_step(add_step([], "a"), "b"), "c", "ok") == [("a", None), ("c", "ok")]
 
