@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.synonyms import DEFAULT, Dictionary, expand_street
-from ..functions.text import DIGITS, NUMBER_FIRST, check_limit, jaccard, jaccard_py, like_prefix, normalize, normalize_py, partial_postcode_py, specificity_py, strip_zone, street_query_py, suggestion_score, suggestion_score_py
+from ..functions.text import DIGITS, check_limit, jaccard, jaccard_py, like_prefix, normalize, normalize_py, partial_postcode_py, specificity_py, strip_zone, street_query_py, suggestion_score, suggestion_score_py
 from .parsing import Address, parse
 from .predicates import same_postcode, street_filter
 

@@ -9,10 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import geo, text
-from ..functions.synonyms import DEFAULT, LANGUAGES, expand_street, street_prefixes
+from ..functions.synonyms import DEFAULT, LANGUAGES, street_prefixes
 from ..operators import geocode as G
 from ..operators import search as S
 from ..operators.parsing import parse, parse_column
@@ -259,6 +258,43 @@ def duplicate_profile(addr, spark, sf_dir):
     return stats.duplicate_profile(addr)
 
 
+@query(f", t AS ({TILES}), s AS (SELECT country, sum(unique_postcodes) AS p, sum(unique_cities) AS c, count(DISTINCT primary_region) AS r FROM t GROUP BY country), b AS (SELECT country, max(lon) - min(lon) > 100 AS wide FROM addr GROUP BY country) SELECT count(*) FILTER (p > 0) AS has_postcode, count(*) AS has_street, count(*) FILTER (c > 0) AS has_city, count(*) FILTER (wide) AS oversized_box, count(*) FILTER (r = 0) AS no_region FROM s JOIN b USING (country)")
+def availability_counts(addr, spark, sf_dir):
+    return stats.counts_by_flag(stats.availability(stats.country_stats(indexes.tile_index(addr)), indexes.manifest(addr, "2026-03-18.0")))
+
+
+@query("SELECT country, city, region, CAST(min(lon) * 1000000 AS INT) AS min_lon_e6, CAST(max(lat) * 1000000 AS INT) AS max_lat_e6, round(CAST(min(lon) * 1000000 AS INT) / 1000000.0 - 0.01, 6) AS min_lon_padded FROM addr GROUP BY country, city, region")
+def city_boxes(addr, spark, sf_dir):
+    box = F.round(geo.from_e6(F.col("bbox_min_lon_e6"), -0.01), 6).alias("min_lon_padded")
+    return indexes.city_index(addr).select("country", "city", "region", F.col("bbox_min_lon_e6").alias("min_lon_e6"), F.col("bbox_max_lat_e6").alias("max_lat_e6"), box)
+
+
+@query("SELECT street_lower, coalesce(array_to_string(list_sort(list(DISTINCT regexp_replace(number, '-[^-]*$', '')) FILTER (starts_with(number, '1'))), ','), '') AS found FROM addr WHERE country = 'JP' GROUP BY street_lower")
+def number_prefix_matches(addr, spark, sf_dir):
+    n = indexes.number_index(G.in_tiles(addr, "JP"))
+    return n.select("street_lower", F.array_join(F.array_sort(S.number_matches(F.col("numbers"), F.lit("1"), japanese=True, limit=1000)), ",").alias("found"))
+
+
+@query("SELECT 'street' AS type, street_lower AS label, CAST(count(*) AS INT) AS addr_count FROM addr WHERE country = 'NZ' GROUP BY street_lower UNION ALL SELECT 'postcode', postcode, CAST(count(*) AS INT) FROM addr WHERE country = 'DE' GROUP BY postcode")
+def suggestion_union(addr, spark, sf_dir):
+    streets = S.suggestion_rows(indexes.street_index(G.in_tiles(addr, "NZ")), "street")
+    codes = S.suggestion_rows(indexes.postcode_index(G.in_tiles(addr, "DE")), "postcode")
+    return streets.unionByName(codes).select("type", "label", "addr_count")
+
+
+@query("SELECT street_lower, array_to_string(list_sort(list(DISTINCT number)), ',') AS numbers FROM addr WHERE country = 'US' AND street_lower = (SELECT min(street_lower) FROM addr WHERE country = 'US') GROUP BY street_lower")
+def street_numbers(addr, spark, sf_dir):
+    us = G.in_tiles(addr, "US")
+    first = us.agg(F.min("street_lower")).head()[0]
+    return S.street_numbers(indexes.number_index(us), first or "").select("street_lower", F.array_join("numbers", ",").alias("numbers"))
+
+
+@query("SELECT address_id, CASE WHEN country IN ('US') THEN regexp_matches(postcode, '^[0-9]{5}(-[0-9]{4})?$') WHEN country IN ('DE','FR','ES','MX','FI') THEN regexp_matches(postcode, '^[0-9]{5}$') WHEN country = 'SE' THEN regexp_matches(postcode, '^[0-9]{3} ?[0-9]{2}$') WHEN country = 'PL' THEN regexp_matches(postcode, '^[0-9]{2}-?[0-9]{3}$') WHEN country IN ('NL','AT','BE','CH','DK','NO','AU') THEN regexp_matches(postcode, '^[0-9]{4}$') ELSE FALSE END AS whole FROM addr WHERE country NOT IN ('JP','IT','CA','BR','PT')")
+def whole_postcode(addr, spark, sf_dir):
+    d = addr.where(~F.col("country").isin("JP", "IT", "CA", "BR", "PT"))
+    return d.select("address_id", text.whole_postcode(F.col("postcode"), F.col("country")).alias("whole"))
+
+
 # Reverse geocoding
 HAVERSINE = "2 * 6371000 * asin(sqrt(power(sin(radians(lat - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians(lat)) * power(sin(radians(lon - {lon}) / 2), 2)))"
 _BOX = geo.radius_box(-20.5, -48.5, 20000)
