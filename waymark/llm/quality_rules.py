@@ -207,14 +207,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Decisi
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns; learned from those of them that have labels."""
+    """The documents that pass, with their columns; learned from those of them that have labels.
+
+    Statistics are computed once, beside the id and a hash of the text; rows are the same if those are.
+    """
     tables = Tables(docs.sparkSession, "quality-rules")
-    known = docs.select("doc_id", "text").join(labels_of(labels).select("doc_id"), "doc_id", "left_semi")
-    stats = tables.put(statistics(known))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    stats = tables.put(docs.select("doc_id", mark.alias("__mark"), text_statistics(F.col("text")).alias("s")).select("doc_id", "__mark", "s.*"))
     rules = fit(stats, labels, tables)
-    tables.drop(stats)
-    keep = let(text_statistics(F.col("text")), lambda s: ~base_failed(s) & (rules.rule_number(features(s)) == 0))
-    return docs.where(keep)
+    s = {c: F.col(c) for c in COUNTS}
+    kept = stats.where(~base_failed(s) & (rules.rule_number(features(s)) == 0)).select(F.col("doc_id").alias("__id"), "__mark").distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
