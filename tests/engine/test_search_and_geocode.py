@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -170,6 +173,33 @@ def test_batch_finds_what_single_queries_find(spark, addr):
         assert got[i] == {r.address_id for r in want.collect()}
 
 
+@pytest.mark.parametrize("radius, scale", [(800, 0.01), (20_000, 0.3), (5000, 0.1)])
+def test_reverse_batch_equals_brute_force(spark, radius, scale):
+    rng = random.Random(radius)
+    spot = lambda i: (i, f"a{i}", "XX", "c", rng.choice([0.0, 47.0, -63.0, 71.5]) + rng.uniform(-scale, scale), rng.choice([0.0, 8.0, -70.0]) + rng.uniform(-scale, scale))
+    stored = [spot(i) for i in range(600)]
+    asked = [(i, r[4] + 0.0001, r[5]) for i, r in enumerate(stored[:40])]
+    a = spark.createDataFrame(stored, "address_id long, full_address string, country string, city string, lat double, lon double")
+    got = {}
+    for r in G.reverse_batch(a, spark.createDataFrame(asked, "point_id long, lat double, lon double"), radius, 5).collect():
+        got.setdefault(r.point_id, []).append((r["rank"], r.address_id))
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(math.sqrt(h))
+
+    for i, lat, lon in asked:
+        near = sorted((m, s[0]) for s in stored if (m := metres((lat, lon), s[4:])) <= radius)[:5]
+        assert [x for _, x in sorted(got[i])] == [x for _, x in near]
+
+
+def test_buckets(spark):
+    df = spark.createDataFrame([(i, "US", "t1" if i < 90 else "t2", "?") for i in range(100)], "address_id long, country string, tile string, bucket string")
+    got = indexes.with_buckets(df, 40)
+    assert {r.bucket for r in got.where("tile = 't1'").collect()} == {"01", "02", "03"} and {r.bucket for r in got.where("tile = 't2'").collect()} == {"_"}
+    assert got.columns == df.columns and got.count() == 100
+
+
 def test_limits_and_tiles(addr):
     with pytest.raises(ValueError):
         G.forward(addr, F.lit(True), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import Box, DegreeGrid, Grid, grid_steps, haversine, in_box, point_key, radius_box
+from ..functions.geo import DEGREE_M, Box, DegreeGrid, Grid, haversine, in_box, point_key, radius_box
 from ..functions.synonyms import DEFAULT, Dictionary
 from ..functions.text import check, check_limit, check_number, normalize
 from .parsing import Address, parse, parse_column
@@ -91,19 +91,24 @@ def reverse(addresses: DataFrame, lat: float, lon: float, radius_m: float = 250,
     return out.orderBy("distance_m", "address_id").limit(limit)
 
 
-def reverse_batch(addresses: DataFrame, points: DataFrame, radius_m: float = 250, k: int = 10, grid: Grid | None = None) -> DataFrame:
+def reverse_batch(addresses: DataFrame, points: DataFrame, radius_m: float = 250, k: int = 10) -> DataFrame:
     """The k nearest addresses of every point within radius_m. points: point_id, lat, lon.
 
-    Points are put into every cell around them that the radius can reach, so the join is an equi-join on the cell; the
-    box is a filter. The window keeps k rows a point, and does so before the shuffle as well.
+    Addresses are put into rows of one radius in height and columns of one radius in width (as wide in degrees as their
+    row needs), points into the nine or so of these that their radius touches. So the join is an equality and meets about
+    what the radius holds, in a dense town as well. The window keeps k rows a point, and does so before the shuffle too.
     """
-    grid = grid or DegreeGrid()
-    d = radius_m / 111_000
-    steps = max(1, grid_steps(radius_m), -(-int(d * 1e6) // 100_000))
+    check_number(radius_m, "radius_m", 1e-3), check_limit(k, 10_000)
+    d = radius_m / DEGREE_M * 1.002  # a degree of the sphere used for distances is a little longer than DEGREE_M
+    edge = lambda row: F.least(F.lit(89.9), F.greatest(F.abs(row * d), F.abs((row + 1) * d)))
+    width = lambda row: F.lit(d) / F.cos(F.radians(edge(row)))
+    row_of = lambda lat: F.floor(lat / d)
+    stored = addresses.withColumn("__row", row_of(F.col("lat"))).withColumn("__col", F.floor(F.col("lon") / width(F.col("__row"))))
     p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    wide = F.lit(d) / F.cos(F.radians("plat"))
-    around = p.withColumn("cell", F.explode(grid.ring(grid.cell(F.col("plat"), F.col("plon")), steps)))
-    met = addresses.join(around, "cell").where(F.col("lat").between(F.col("plat") - d, F.col("plat") + d) & F.col("lon").between(F.col("plon") - wide, F.col("plon") + wide))
+    rows = p.withColumn("__row", F.explode(F.sequence(row_of(F.col("plat") - d), row_of(F.col("plat") + d))))
+    # as wide as the radius is at the row's edge that is nearest to a pole
+    around = rows.withColumn("__col", F.explode(F.sequence(F.floor((F.col("plon") - width(F.col("__row"))) / width(F.col("__row"))), F.floor((F.col("plon") + width(F.col("__row"))) / width(F.col("__row"))))))
+    met = stored.join(around, ["__row", "__col"])
     far = met.withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("distance_m") <= radius_m)
     rank = F.row_number().over(Window.partitionBy("point_id").orderBy("distance_m", "address_id"))
     return far.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "rank", "address_id", "full_address", "country", "city", "distance_m")

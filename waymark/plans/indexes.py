@@ -82,6 +82,14 @@ def region_index(addr: DataFrame) -> DataFrame:
 INDEXES = {"city_index": city_index, "postcode_index": postcode_index, "street_index": street_index, "number_index": number_index}
 
 
+def with_buckets(addr: DataFrame, most: int = 500_000) -> DataFrame:
+    """Sets bucket: `_` for tiles of up to `most` addresses, else 01, 02 and so on by a hash of the id, as many as it takes."""
+    size = addr.groupBy("country", "tile").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    number = F.lpad((F.pmod(F.xxhash64("address_id"), F.col("__parts")) + 1).cast("string"), 2, "0")
+    bucket = F.when(F.col("__parts") == 1, F.lit("_")).otherwise(number)
+    return addr.drop("bucket").join(size, ["country", "tile"]).withColumn("bucket", bucket).select(*addr.columns)
+
+
 def write_tiles(addr: DataFrame, root: str) -> None:
     """The address table by country, tile and bucket. A tile's rows go to one task unless it has buckets: that is what
     buckets are for. Rows are sorted by street, so that a prefix touches few row groups."""
