@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
-CACHED = 300_000  # words; beyond, those that have come once are forgotten
+CACHED = 300_000  # words kept; those beyond are looked up for the texts at hand only
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -64,20 +64,13 @@ class Encoder:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.seen = np.zeros(0, np.int64)
-
-    def forget(self, room: int) -> None:
-        """Keeps the words that have come again since the last time, the commonest, and no more than room."""
-        if len(self.number) <= room:
-            return
-        bound = max(2, int(np.partition(self.seen, -room)[-room]))
-        kept = [(w, i) for w, i in self.number.items() if self.seen[i] >= bound][:room]
-        old = np.array([i for _, i in kept], np.int64)
-        size = self.begin[old + 1] - self.begin[old]
-        begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.flat = self.flat[np.repeat(self.begin[old] - begin[:-1], size) + np.arange(begin[-1])]
-        self.begin, self.seen = begin, np.ones(len(old), np.int64)
-        self.number = {w: n for n, (w, _) in enumerate(kept)}
+
+    def shrink(self, room: int) -> None:
+        """Keeps the first `room` words: common words come early."""
+        for w in list(islice(reversed(self.number), max(0, len(self.number) - room))):
+            del self.number[w]
+        self.begin = self.begin[: len(self.number) + 1]
+        self.flat = self.flat[: self.begin[-1]]
 
     def _ids(self, tokenizer, words: list[str]) -> np.ndarray:
         texts = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]  # the time per word is least there
@@ -107,7 +100,6 @@ class Encoder:
         self.number.update(zip(chain(plain, other), range(len(self.number), len(self.number) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, joined, rest])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str], plain: np.ndarray) -> list[np.ndarray]:
         """plain: whether a text has only characters that are cut at blanks here as the library cuts them."""
@@ -115,8 +107,6 @@ class Encoder:
         rest = [i for i in range(len(texts)) if not plain[i]]
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
-        if len(self.number) > CACHED:
-            self.forget(CACHED // 2)
         own = [i for i in range(len(texts)) if plain[i]]
         cut = [texts[i].lower().split() for i in own]
         words = list(chain.from_iterable(cut))
@@ -124,13 +114,13 @@ class Encoder:
         if new:
             self._learn(new)
         k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        self.seen += np.bincount(k, minlength=len(self.seen))
         size = self.begin[k + 1] - self.begin[k]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(self.begin[k] - ends[:-1], size) + np.arange(ends[-1])]
         bounds = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
         for n, i in enumerate(own):
             out[i] = flat[bounds[n] : bounds[n + 1]]
+        self.shrink(CACHED)
         return out
 
 
@@ -165,7 +155,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 ids = pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in all_ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(len(sizes), part, np.int64)), pa.array(first), pa.array(sizes), ids], names=["doc_id", "part", "first", "n", "ids"])
         if path in _encoders:
-            _encoders[path].forget(CACHED // 8)  # the worker stays, for tasks of other kinds as well
+            _encoders[path].shrink(CACHED // 8)  # the worker stays, for tasks of other kinds as well
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(each, "doc_id long, part long, first long, n long, ids binary")
 
