@@ -63,13 +63,22 @@ def normalize(text: Column) -> Column:
     Exact for text whose multi-character foldings are kana or in COMMON or LIGATURES, and without Hangul.
     """
     source, target = _translation()
-    out = F.translate(text, source, target)
-    many = {c: f for c, f in _expansions() if c in COMMON or "\u3040" <= c <= "\u30ff"} | LIGATURES
-    # one test spares plain text the replacements; they are a fold over a literal array, for the code of a chain grows too large
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in many.items()])
-    spelled = F.aggregate(pairs, out, lambda acc, p: F.replace(acc, p["c"], p["f"]))
-    odd = out.rlike("[" + "".join(many) + "]")
-    return F.lower(F.when(F.octet_length(text) == F.length(text), text).when(odd, spelled).otherwise(out))
+    rare = {c: f for c, f in _expansions() if c in COMMON or "\u3040" <= c <= "\u30ff"}
+    plain = F.octet_length(text) == F.length(text)
+    folded = _let(F.translate(text, source, target), lambda t: _let(_spelled(t, LIGATURES), lambda u: _spelled(u, rare)))
+    return F.lower(F.when(plain, text).otherwise(folded))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _spelled(text: Column, spellings: dict[str, str]) -> Column:
+    """The replacements, for text that needs one. They are a fold over a literal array: the code of a chain grows too large."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in spellings.items()])
+    odd = text.rlike("[" + "".join(spellings) + "]")
+    return F.when(odd, F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["c"], p["f"]))).otherwise(text)
 
 
 def bigrams_py(text: str) -> set[str]:
