@@ -102,6 +102,15 @@ def test_secret_base_and_guesses(spark, odd):
     assert clean.columns == odd.columns and sorted(map(str, clean.collect())) == sorted(map(str, odd.collect()))
 
 
+@pytest.mark.parametrize("text, left", [('password="Abcdefghijkl9!Qz7#xVt2" end', '#" end'), ("pwd: x!Q0123456789abcdef#Zw8 end", "pwd: # end")])
+def test_no_end_of_a_value_is_left(text, left):
+    assert secret_scan.redacted(text, secret_scan.secrets(text), "#") == left
+
+
+def test_covered_values_are_no_guesses():
+    assert [k for _, _, k in secret_scan.secrets("password=abcdEFGH1234 token=0123456789abcdefQz7xVt2")] == ["assign", "assign", "hex"]
+
+
 def test_kelvin_sign_is_no_k():
     assert secret_scan.secrets("toKen=abcdefghijklmnop") == [] and secret_scan.secrets("ſecret=abcdefghijklmnop") == []
 

@@ -6,7 +6,8 @@ dictionary words, dates, repeats, keyboard walks or sequences, and brute-force c
 gives the number of guesses an informed attacker needs. A value beyond MIN_LOG10_GUESSES is reported as `guess`.
 
 Offsets are code points, ends exclusive. Overlapping spans of different kinds are all reported; a `guess` span that
-meets a base span is dropped, for the base has it.
+base spans cover wholly is dropped, for the base has it. One that they meet in part is reported whole, so that no end of
+the value is left.
 
 Cases: a null or empty text has no spans; long values are segmented whole, in time linear in their length; repeated rows
 give repeated results; other columns are not read.
@@ -100,6 +101,17 @@ def log10_guesses(value: str) -> float:
     return best[n]
 
 
+def _union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The places that spans cover, in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def secrets(text: str | None) -> list[tuple[int, int, str]]:
     """start, end and kind of every span, by start, then by kind as listed in KINDS."""
     if not text:
@@ -110,9 +122,10 @@ def secrets(text: str | None) -> list[tuple[int, int, str]]:
     low = text.lower()
     if any(h in low for h in HINTS):
         base += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        covered = _union(base)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(x < b and a < y for x, y, _ in base) and log10_guesses(m[1]) >= MIN_LOG10_GUESSES:
+            if not any(x <= a and b <= y for x, y in covered) and log10_guesses(m[1]) >= MIN_LOG10_GUESSES:
                 more.append((a, b, "guess"))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
