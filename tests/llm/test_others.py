@@ -121,6 +121,19 @@ def test_guess_cost_orders(weak, strong):
     assert secret_scan.log10_guesses("") == 0
 
 
+@pytest.mark.parametrize("strong", ["k9#Qz!v8", "aq3x8zk2", "Vb7kQ2xW9", "m4!xTq8#Lz", "qzwmxnvbty9", "wqhzmbvx", "KTXWBRNH", "hqxvnzbwkdrmtpgc"])
+def test_short_strong_values_are_found(strong):
+    for context in ("pwd: ", "passphrase: ", 'bearer="', "token="):
+        text = f"{context}{strong} end"
+        spans = secret_scan.secrets(text)
+        assert any(text[a:b].endswith(strong) for a, b, _ in spans) and strong not in secret_scan.redacted(text, spans, "#")
+
+
+@pytest.mark.parametrize("weak", ["password1", "sometimes", "Authentication", "INTERNATIONAL", "aaaaaaaa", "qwertyuiop", "20240131", "sometimes1"])
+def test_weak_values_are_left(weak):
+    assert secret_scan.secrets(f"pwd: {weak} end") == []
+
+
 # Licenses
 def test_license_places_and_templates(spark, odd, none):
     text = "So: CC-BY!! all rights reserved. ALL  rights\nreserved cc by General Public License. Licensed under the Apache License, Version 2.0."

@@ -3,7 +3,9 @@
 The base finds assignments, access keys and hexadecimal runs by pattern. The method looks at values behind further
 credential words and at assigned values that the base finds too short: the cheapest segmentation of the value into
 dictionary words, dates, repeats, keyboard walks or sequences, and brute-force characters, by dynamic programming,
-gives the number of guesses an informed attacker needs. A value beyond MIN_LOG10_GUESSES is reported as `guess`.
+gives the number of guesses an informed attacker needs. A brute-force character costs as many guesses as the character
+classes of the value have members, so random values of 8 characters reach the bound if they mix classes or are letters;
+digits alone need 11. A value of MIN_LOG10_GUESSES or more is reported as `guess`.
 
 Offsets are code points, ends exclusive. Overlapping spans of different kinds are all reported; a `guess` span that
 base spans cover wholly is dropped, for the base has it. One that they meet in part is reported whole, so that no end of
@@ -65,13 +67,40 @@ def _near(a: str, b: str) -> bool:
     return a.isascii() and b.isascii() and a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1
 
 
+LETTERS = re.compile(r"[^\W\d_]{4,}")
+# Pairs of letters that words of English, German, French and Spanish hardly have, and five consonants or vowels in a row.
+NO_WORD = re.compile(
+    "b[qx]|c[bfgjpvwxz]|d[qx]|f[cjqvx]|g[cjqvx]|h[jqx]|j[b-df-hj-np-tv-z]|k[jqvx]|l[qx]|m[jqvx]|p[jqvxz]|q[^u]|r[jqx]|sx|t[jqx]|u[jq]|v[b-df-hjkmnpqstvwxz]|w[cgjqvx]|x[bdfgjkmnrsvwz]|y[jqy]|z[cjqrvx]"
+    "|[b-df-hj-np-tv-xz]{5}|[aeiouy]{5}"
+)
+
+
+def _alphabet(value: str) -> int:
+    """How many characters the classes have from which value is drawn."""
+    sizes = ((26, str.islower), (26, str.isupper), (10, str.isdigit), (33, lambda c: c.isascii() and not c.isalnum()), (100, lambda c: not c.isascii()))
+    return sum(size for size, kind in sizes if any(map(kind, value)))
+
+
+def _brute_force(value: str) -> list[float]:
+    """log10 cost of every character. Letters of one case that read like a word are more likely one that the list lacks than drawn at random."""
+    out = [math.log10(_alphabet(value))] * len(value) if value else []
+    for m in LETTERS.finditer(value):
+        start = m.start()
+        for i in range(start + 1, m.end() + 1):
+            if i < m.end() and not (value[i].isupper() and not value[i - 1].isupper()):
+                continue
+            part = value[start:i]
+            if i - start >= 4 and (part[1:].islower() or part.isupper() or not part.isascii()) and not NO_WORD.search(part.lower()):
+                out[start:i] = [math.log10(4)] * (i - start)
+            start = i
+    return out
+
+
 def log10_guesses(value: str) -> float:
     """The least sum of log10 costs over all segmentations of value; 0 for an empty one."""
     n, low = len(value), value.lower()
     plain = low.translate(LOOKALIKE)
-    # letters of one case are more likely a word that the list lacks than drawn at random
-    wordlike = value.isalpha() and (value.islower() or value.isupper() or value[1:].islower())
-    brute = math.log10(4 if wordlike else 10)
+    brute = _brute_force(value)
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if value[i].isdigit() and (m := DATE.match(value, i)):
@@ -79,7 +108,7 @@ def log10_guesses(value: str) -> float:
     best = [0.0] * (n + 1)
     same = walk = 0  # where the run of one character, and the keyboard walk, that end here begin
     for j in range(1, n + 1):
-        cost = best[j - 1] + brute
+        cost = best[j - 1] + brute[j - 1]
         if j > 1 and low[j - 1] != low[j - 2]:
             same = j - 1
         if j > 1 and not _near(low[j - 1], low[j - 2]):
