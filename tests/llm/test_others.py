@@ -69,6 +69,16 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality_model.fit(odd.where("doc_id = 2"), spark.createDataFrame([(2, 1)], "doc_id long, quality int")) == 1.0
 
 
+@pytest.mark.parametrize("unit", ["abc", "spam ", "buy now ", "0123456789abcdef"])
+def test_repetition_counts_all_strings(unit):
+    other = "".join(map(chr, np.random.default_rng(1).integers(33, 127, 900)))
+    raw = [t.encode() for t in (unit * 60, other, other[:300] * 2, "ab", "")]
+    x, bounds = quality_model.passages(np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    k = len(quality_model.CLASSES)
+    assert (x[bounds[0] : bounds[1], k] == 1).all() and (x[bounds[1] : bounds[2], k] < 0.01).all()
+    assert (x[bounds[2] : bounds[3], k] > 0.95).all() and (x[bounds[3] :, k] == 0).all()
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(1)
     texts = ["hello world " * 60, "%%% ### " * 90, "a", ""]

@@ -70,14 +70,14 @@ def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     for i, kind in enumerate(CLASSES):
         x[:, i] = sums(kind[data]) / width
     k = len(CLASSES)
-    # repetition: of the 5-byte strings whose hash falls in one of 8 classes, how many stand elsewhere in the text too
+    # repetition: of the 5-byte strings that begin here, how many stand elsewhere in the text too
     owner = np.repeat(np.arange(n), lengths)
     wide = data.astype(np.uint64)
     m = size - 4
     if m > 0:
         h = wide[:m] | wide[1 : m + 1] << np.uint64(8) | wide[2 : m + 2] << np.uint64(16) | wide[3 : m + 3] << np.uint64(24) | wide[4 : m + 4] << np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        at = np.flatnonzero((h >> np.uint64(61) == 0) & (owner[:m] == owner[4:]))
+        at = np.flatnonzero(owner[:m] == owner[4:])
         key = (h[at] ^ (owner[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
         by = np.argsort(key, kind="stable")
         s = key[by]
