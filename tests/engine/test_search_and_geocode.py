@@ -278,3 +278,23 @@ def test_stream(spark, tmp_path, addr):
     assert rows[1]["number"] == "12" and rows[1]["street"] == "small ring ave" and rows[2]["street"] == "nirgends"
     ev = spark.createDataFrame([("s", "2024-01-01 00:00:00", "a"), ("s", "2024-01-01 00:00:00.5", "ab"), ("s", "2024-01-01 00:01:00", "x")], "session string, at string, text string").withColumn("at", F.col("at").cast("timestamp"))
     assert sorted(r["text"] for r in latest_queries(ev, "session", "at", "text").collect()) == ["ab", "x"]
+
+
+def test_batch_query_types_every_address(spark):
+    from waymark.functions.text import NUMBER_FIRST
+    from waymark.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    stored = catalogue.addresses(spark, sf).select("address_id", "country", "street", "street_lower", "number").collect()
+    want = {}
+    for r in stored:
+        parts = [r["number"], r["street"]] if r["country"] in NUMBER_FIRST - {"BR"} else [r["street"], r["number"]]
+        a = catalogue.parse(" ".join(parts), r["country"])
+        if a.number and a.street:
+            met = [(len(s["street_lower"]), s["address_id"]) for s in stored if s["country"] == r["country"] and s["number"] == a.number and s["street_lower"].startswith(a.street.lower())]
+            if met:
+                want[r["address_id"]] = min(met)[1]
+    got = {r["query_id"]: r["address_id"] for r in catalogue.QUERIES["geocode_batch"](spark, sf).collect()}
+    assert got == want
+    # the parser finds no street before a number in Latin letters in Japan
+    assert set(want) == {r["address_id"] for r in stored if r["country"] != "JP"}

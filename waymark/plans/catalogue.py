@@ -428,7 +428,7 @@ def formatting(addr, spark, sf_dir):
 # Without SQL: parsers and similarity search on normalised text
 @query()
 def geocode_batch(addr, spark, sf_dir):
-    q = addr.where("unit is not null").select(F.col("address_id").alias("query_id"), "country", F.when(F.col("country").isin(sorted(text.NUMBER_FIRST - {"BR"})), F.concat_ws(" ", "number", "street")).otherwise(F.concat_ws(" ", "street", "number")).alias("text"))
+    q = addr.select(F.col("address_id").alias("query_id"), "country", F.when(F.col("country").isin(sorted(text.NUMBER_FIRST - {"BR"})), F.concat_ws(" ", "number", "street")).otherwise(F.concat_ws(" ", "street", "number")).alias("text"))
     return G.geocode_batch(addr, q).select("query_id", "rank", "address_id", "full_address")
 
 
