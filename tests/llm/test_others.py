@@ -297,6 +297,17 @@ def test_sharding(spark, odd, none, which):
         assert sum(len(v) > 1 for v in where.values()) <= 2
 
 
+@pytest.mark.parametrize("size, groups", [(2, 2400), (5, 960), (40, 120)])
+def test_sharding_keeps_copies_together_without_single_ones(spark, size, groups):
+    df = spark.createDataFrame([(i, f"group {i // size}") for i in range(size * groups)], "doc_id long, text string")
+    rows = sharding.shard(df).select("doc_id", "shard").collect()
+    where, counts = defaultdict(set), Counter(r["shard"] for r in rows)
+    for r in rows:
+        where[r["doc_id"] // size].add(r["shard"])
+    assert sorted(r["doc_id"] for r in rows) == list(range(size * groups)) and set(counts.values()) == {size * groups // 16}
+    assert sum(len(v) > 1 for v in where.values()) <= 15
+
+
 # Nearest neighbours
 def test_recall_against_brute_force(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -2,8 +2,10 @@
 
 Documents are linked with those of equal text. Every document starts in a shard by hash; in each round linked documents
 move to the shard where most of their neighbours are, as far as the quotas of the shards admit (those of a group larger
-than a quota, to the several shards it needs); then documents without a link fill all shards up to counts at most one
-apart (the law `rows`).
+than a quota, to the several shards it needs). Groups that fit a shard and are still split after the rounds are placed
+anew as a whole, the largest first, in the room that they and a share of the other groups give up; so at most one group a
+border between shards stays split, where no shard has room for it. Then documents without a link fill all shards up to
+counts at most one apart (the law `rows`).
 
 Members of a group that sit in one shard see the same neighbours, so they are one row of the state: (group, shard,
 count). A round joins these cells with the votes of their group and the room of the shards; it is bounded by shards x
@@ -29,6 +31,7 @@ SHARDS = 16
 CELLS = 1024
 ROUNDS = 8
 PARTS = 1024
+SWAPPED = 8
 SEED = 5
 
 
@@ -92,6 +95,23 @@ def propagate(cells: DataFrame, quotas: list[int], tables: Tables, rounds: int =
     return cells
 
 
+def _less(room: list[int], rows: DataFrame) -> list[int]:
+    """room of the shards without what rows (shard, n) take."""
+    taken = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return [max(0, x - taken.get(s, 0)) for s, x in enumerate(room)]
+
+
+def _laid(pool: DataFrame, room: list[int], part: Column) -> DataFrame:
+    """Adds `share`: the shards and counts that a group gets when the pool in a row, by part, fills the room of the shards."""
+    bounds = [0]
+    for x in room:
+        bounds.append(bounds[-1] + x)
+    spans = F.array(*[F.struct(F.lit(s).cast("long").alias("shard"), F.lit(bounds[s]).cast("long").alias("lo"), F.lit(bounds[s + 1]).cast("long").alias("hi")) for s in range(len(room))])
+    placed = ahead(pool.withColumn("all", F.lit(0)), ["all"], part, ["g1", "g2"], "n")
+    share = F.transform(spans, lambda s: F.struct(s["shard"].alias("shard"), (F.least(s["hi"], F.col("before") + F.col("n")) - F.greatest(s["lo"], F.col("before"))).alias("n")))
+    return placed.select("g1", "g2", "n", F.filter(share, lambda s: s["n"] > 0).alias("share"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     tables = Tables(docs.sparkSession, "sharding")
@@ -108,16 +128,32 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     used = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     excess = F.element_at(F.array(*[F.lit(max(0, used.get(s, 0) - q)).cast("long") for s, q in enumerate(quotas)]), F.col("shard") + 1)
     split = tables.put(over.withColumn("back", F.greatest(F.lit(0), F.least(F.col("n"), excess - F.col("before")))))
-    stay = split.select("g1", "g2", "shard", (F.col("n") - F.col("back")).alias("n")).where("n > 0")
-    pool = split.groupBy("g1", "g2").agg(F.sum("back").alias("n")).where("n > 0").unionByName(groups.where("rows = 1").select("g1", "g2", F.col("rows").alias("n")))
-    # the pool in a row fills what each shard lacks
-    lack, bounds = [max(0, q - used.get(s, 0)) for s, q in enumerate(quotas)], [0]
-    for x in lack:
-        bounds.append(bounds[-1] + x)
-    spans = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(bounds[s]).cast("long").alias("lo"), F.lit(bounds[s + 1]).cast("long").alias("hi")) for s in range(shards)])
-    placed = ahead(pool.withColumn("all", F.lit(0)), ["all"], F.pmod(F.xxhash64("g1", "g2"), F.lit(CELLS)), ["g1", "g2"], "n")
-    share = F.transform(spans, lambda s: F.struct(s["shard"].alias("shard"), (F.least(s["hi"], F.col("before") + F.col("n")) - F.greatest(s["lo"], F.col("before"))).alias("n")))
-    filled = placed.select("g1", "g2", F.inline(F.filter(share, lambda s: s["n"] > 0)))
+    # a group that fits a shard and lies in several places goes to the pool whole; so that there is room to swap, so does one of SWAPPED others
+    each = Window.partitionBy("g1", "g2")
+    places = F.sum((F.col("n") > F.col("back")).cast("int")).over(each) + F.when(F.sum("back").over(each) > 0, 1).otherwise(0)
+    fits = split.join(groups, ["g1", "g2"]).withColumn("fits", F.col("rows") <= max(1, *quotas)).withColumn("loose", F.col("fits") & (places > 1))
+    fits = tables.put(fits)
+    swaps = F.col("fits") & (F.pmod(F.xxhash64("g1", "g2"), F.lit(SWAPPED)) == 0) if fits.where("loose").head(1) else F.lit(False)
+    freed = fits.withColumn("back", F.when(F.col("loose") | swaps, F.col("n")).otherwise(F.col("back")))
+    stay = tables.put(freed.select("g1", "g2", "shard", (F.col("n") - F.col("back")).alias("n")).where("n > 0"))
+    pool = tables.put(freed.groupBy("g1", "g2").agg(F.sum("back").alias("n")).where("n > 0"))
+    room = _less(quotas, stay)
+    # linked rows of the pool, the largest groups first, fill what each shard lacks; a group on a border goes where it fits whole, if it does anywhere
+    laid = tables.put(_laid(pool, room, (39 - F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(39))) * 16 + F.pmod(F.xxhash64("g1"), F.lit(16))))
+    whole = laid.where(F.size("share") == 1).select("g1", "g2", F.inline("share"))
+    room, rest = _less(room, whole), []
+    for r in sorted(laid.where(F.size("share") > 1).select("g1", "g2", "n").collect(), key=lambda r: (-r["n"], r["g1"], r["g2"])):  # one a border at most
+        n = r["n"]
+        while n:
+            able = [s for s in range(shards) if room[s] >= n]
+            to = min(able, key=lambda s: room[s]) if able else max(range(shards), key=lambda s: room[s])
+            m = min(n, room[to])
+            rest.append(F.struct(F.lit(r["g1"]).cast("long").alias("g1"), F.lit(r["g2"]).cast("long").alias("g2"), F.lit(to).cast("long").alias("shard"), F.lit(m).cast("long").alias("n")))
+            room[to], n = room[to] - m, n - m
+    filled = whole.unionByName(docs.sparkSession.range(1).select(F.inline(F.array(*rest)))) if rest else whole
+    # then documents without a copy
+    single = _laid(groups.where("rows = 1").select("g1", "g2", F.col("rows").alias("n")), room, F.pmod(F.xxhash64("g1", "g2"), F.lit(CELLS)))
+    filled = filled.unionByName(single.select("g1", "g2", F.inline("share")))
     final = tables.put(stay.unionByName(filled).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")))
 
     # ranges of ranks: of a group's cells, and of its shards; SHARDS and CELLS rows a group at most
