@@ -122,3 +122,25 @@ def test_number_checks():
     for bad in (float("nan"), float("inf"), "1", True):
         with pytest.raises(ValueError):
             T.check_number(bad, "lat")
+
+
+def test_compact_rounds_by_one_rule(spark):
+    known = {1050: "1.1K", 1150: "1.1K", 1250: "1.3K", 2250: "2.3K", 2350: "2.4K", 1_250_000: "1.3M", 999_950: "1000.0K", 1_250_000_000: "1.3B"}
+    assert [T.compact_py(n) for n in known] == list(known.values())
+    values = [*known, *range(1, 1000, 7), *range(1000, 120_000, 50), *range(1_000_000, 30_000_000, 50_000), 1_149_999, 1_350_000_001]
+    df = spark.createDataFrame([(n,) for n in values], "n long").coalesce(1)
+    assert [r[0] for r in df.select(T.compact(F.col("n"))).collect()] == [T.compact_py(n) for n in values]
+
+
+def test_formats_and_postcodes_over_every_address(spark):
+    from waymark.plans import catalogue
+
+    d = catalogue.addresses(spark, "/root/testdata/sf0.001")
+    part = F.substring("postcode", 1, 4)
+    rows = d.select("address_id", "country", "postcode", part.alias("part"), T.compact(F.col("address_id")).alias("compact"), T.whole_postcode(F.col("postcode"), F.col("country")).alias("whole"), T.partial_postcode(part, F.col("country")).alias("partial")).collect()
+    assert {"JP", "IT", "CA", "BR", "PT"} <= {r["country"] for r in rows} and any(r["address_id"] % 100 == 50 for r in rows)
+    for r in rows:
+        cc, code = r["country"], r["postcode"]
+        assert r["compact"] == T.compact_py(r["address_id"])
+        whole = cc in T.POSTCODE_RE and (None if code is None else bool(T.POSTCODE_RE[cc].match(code)))
+        assert r["whole"] == whole and r["partial"] == (None if code is None else T.partial_postcode_py(r["part"], cc))

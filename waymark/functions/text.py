@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from decimal import ROUND_HALF_UP, Decimal
 from functools import cache
 
 from pyspark.sql import Column
@@ -277,9 +278,10 @@ def sql_escape(text: str) -> str:
 
 
 def compact_py(n: float) -> str:
+    """To one place by the exact value of the quotient, exact halves up (as toFixed does)."""
     for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
         if n >= size:
-            return f"{n / size:.1f}{unit}"
+            return f"{Decimal(n / size).quantize(Decimal('0.1'), ROUND_HALF_UP)}{unit}"
     return f"{n:,}"
 
 
@@ -287,10 +289,19 @@ def full_py(n: float) -> str:
     return f"{n:,}"
 
 
+def _tenths(x: Column) -> Column:
+    """x > 0 to one place. 20 x - (2 k + 1), whose sign tells the half, is exact: both differences are of numbers within a factor of two."""
+    k = F.floor(x * 10).cast("long")
+    odd = (k * 2 + 1).cast("double")
+    t = F.when((x * 16 - odd) + x * 4 >= 0, k + 1).otherwise(k)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def compact(n: Column) -> Column:
+    """compact_py as an expression, with its rounding."""
     out = F.format_number(n, 0)
     for size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        out = F.when(n >= size, F.format_string(f"%.1f{unit}", n / size)).otherwise(out)
+        out = F.when(n >= size, F.concat(_tenths(n / size), F.lit(unit))).otherwise(out)
     return out
 
 
