@@ -298,3 +298,19 @@ def test_batch_query_types_every_address(spark):
     assert got == want
     # the parser finds no street before a number in Latin letters in Japan
     assert set(want) == {r["address_id"] for r in stored if r["country"] != "JP"}
+
+
+def test_batches_answer_long_texts(spark):
+    from waymark.operators import geocode as G
+    from waymark.operators import search as S
+
+    long = "blossoming " * 10
+    names = [long + "lily", long + "wolf"]
+    streets = spark.createDataFrame([("US", n, ["t"], 1, "c") for n in names], "country string, street_lower string, tiles array<string>, addr_count int, primary_city string")
+    asked = spark.createDataFrame([(1, "US", long + "w"), (2, "US", long), (3, "US", long + "x")], "query_id int, country string, query string")
+    got = sorted((r["query_id"], r["street_lower"]) for r in S.suggest_streets_batch(streets, asked).collect())
+    assert got == [(1, names[1]), (2, names[0]), (2, names[1])]
+    schema = "address_id int, country string, full_address string, street string, street_lower string, number string, unit string, city string, region string, postcode string, lat double, lon double, cell long"
+    stored = spark.createDataFrame([(i, "US", n, n.upper(), n, "7", None, "c", "r", None, 1.0, 1.0, 1) for i, n in enumerate(names)], schema)
+    typed = spark.createDataFrame([(1, "US", f"7 {names[1]}")], "query_id int, country string, text string")
+    assert [(r["query_id"], r["address_id"]) for r in G.geocode_batch(stored, typed).collect()] == [(1, 1)]

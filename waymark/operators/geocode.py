@@ -53,13 +53,13 @@ def geocode_batch(addresses: DataFrame, queries: DataFrame, limit: int = 1, stre
     """
     p = queries.select("query_id", "country", parse_column(F.col("text"), F.col("country")).alias("a"))
     q = p.select("query_id", "country", F.col("a.number").alias("number"), normalize(F.col("a.street")).alias("prefix"), F.replace(F.lower("a.postcode"), F.lit(" "), F.lit("")).alias("pc"))
-    q = q.where(F.col("number").isNotNull() & F.length("prefix").between(1, LONGEST))
+    q = q.where(F.col("number").isNotNull() & (F.length("prefix") >= 1)).withColumn("key", F.substring("prefix", 1, LONGEST))
     norm = F.col("street_norm") if "street_norm" in addresses.columns else normalize(F.col("street_lower"))
     stored = addresses.withColumn("__norm", norm)
     names = (streets.select("country", F.col("street_norm").alias("__norm")) if streets is not None else stored.select("country", "__norm")).distinct()
     sizes = F.array(*map(F.lit, range(1, LONGEST + 1)))
-    keyed = names.withColumn("prefix", F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length("__norm")), lambda n: F.substr("__norm", F.lit(1), n))))
-    wanted = q.join(keyed, ["country", "prefix"])
+    keyed = names.withColumn("key", F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length("__norm")), lambda n: F.substr("__norm", F.lit(1), n))))
+    wanted = q.join(keyed, ["country", "key"]).where(F.startswith("__norm", "prefix"))
     met = stored.join(wanted, ["country", "__norm", "number"])
     met = met.where(F.col("pc").isNull() | (F.replace(F.lower("postcode"), F.lit(" "), F.lit("")) == F.col("pc")))
     order = Window.partitionBy("query_id").orderBy(F.length("__norm"), "address_id")

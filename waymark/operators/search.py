@@ -249,7 +249,7 @@ def suggestion_rows(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.lit(kind).alias("type"), F.col(label).alias("label"), "tiles", "addr_count", city.alias("primary_city"))
 
 
-LONGEST = 100  # letters of a prefix
+LONGEST = 100  # letters of a key; the rest of a longer prefix is compared after the join
 
 
 def suggest_streets_batch(streets: DataFrame, queries: DataFrame, limit: int = 15) -> DataFrame:
@@ -259,11 +259,11 @@ def suggest_streets_batch(streets: DataFrame, queries: DataFrame, limit: int = 1
     and prefix. The top of a prefix is found once, however many queries ask for it, and a prefix that many streets
     share (a street type) is cut to `limit` rows before it is shuffled to one task.
     """
-    q = queries.select("query_id", "country", F.lower("query").alias("prefix")).where(F.length("prefix").between(1, LONGEST))
-    lengths = sorted(r["n"] for r in q.select(F.length("prefix").alias("n")).distinct().collect())  # LONGEST rows at most
+    q = queries.select("query_id", "country", F.lower("query").alias("prefix")).where(F.length("prefix") >= 1).withColumn("key", F.substring("prefix", 1, LONGEST))
+    lengths = sorted(r["n"] for r in q.select(F.length("key").alias("n")).distinct().collect())  # LONGEST rows at most
     sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
-    keyed = streets.withColumn("n", F.explode(F.filter(sizes, lambda n: n <= F.length("street_lower")))).withColumn("prefix", F.substr("street_lower", F.lit(1), F.col("n")))
-    asked = keyed.join(q.select("country", "prefix").distinct(), ["country", "prefix"], "left_semi")
+    keyed = streets.withColumn("n", F.explode(F.filter(sizes, lambda n: n <= F.length("street_lower")))).withColumn("key", F.substr("street_lower", F.lit(1), F.col("n")))
+    asked = keyed.join(q.select("country", "key", "prefix").distinct(), ["country", "key"]).where(F.startswith("street_lower", "prefix"))
     rank = F.row_number().over(Window.partitionBy("country", "prefix").orderBy(F.desc("addr_count"), "street_lower"))
     top = asked.withColumn("rank", rank).where(F.col("rank") <= limit)
     return q.join(top, ["country", "prefix"]).select("query_id", "rank", "street_lower", "tiles", "addr_count", "primary_city")
