@@ -9,7 +9,8 @@ Sample: at most SAMPLE labelled rows of at most SAMPLE_BYTES bytes, by a hash of
 
 Cases: a null or empty text is one passage without bytes, and gets the score of that; every passage of a long text is
 encoded and weighed; without labels, or with one class only, the score is the share of label 1 (0.5 without any);
-contradicting labels count as 1; repeated rows give repeated results; other columns are not read.
+contradicting labels count as 1; a score is a function of the text alone, to the last bit, so repeated rows give repeated
+results however rows are dealt out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,10 +76,9 @@ def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     wide = data.astype(np.uint64)
     m = size - 4
     if m > 0:
-        h = wide[:m] | wide[1 : m + 1] << np.uint64(8) | wide[2 : m + 2] << np.uint64(16) | wide[3 : m + 3] << np.uint64(24) | wide[4 : m + 4] << np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
+        string = wide[:m] | wide[1 : m + 1] << np.uint64(8) | wide[2 : m + 2] << np.uint64(16) | wide[3 : m + 3] << np.uint64(24) | wide[4 : m + 4] << np.uint64(32)
         at = np.flatnonzero(owner[:m] == owner[4:])
-        key = (h[at] ^ (owner[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
+        key = string[at] | owner[at].astype(np.uint64) << np.uint64(40)  # exact: a batch has fewer than 2 ** 24 texts
         by = np.argsort(key, kind="stable")
         s = key[by]
         same = s[1:] == s[:-1]
@@ -99,12 +99,21 @@ def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         g *= np.uint32(0x9E3779B1)
         rows = np.zeros((size + 1, PROJECTED), np.float32)
         rows[:t] = PROJECTION[g >> np.uint32(20)]  # 12 bits
+        rows[:t][owner[:t] != owner[2:]] = 0  # a trigram lies in one text
         full = np.flatnonzero(last > first)
         edges = np.stack([first[full], last[full]], axis=1).ravel()
         x[full, k + 3 :] = np.add.reduceat(rows, edges, axis=0)[::2] / width[full, None]
     return x, bounds
 
 
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in one order whatever the number of rows, so that a text's score doesn't depend on its neighbours in a batch."""
+    out = np.zeros((len(x), *w.shape[1:]))
+    for i, row in enumerate(w):
+        out += x[:, i, None] * row if w.ndim == 2 else x[:, i] * row
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -117,15 +126,15 @@ class Model:
 
     def forward(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         p = self.p
-        h = np.tanh(x @ p["A"] + p["a"])
-        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * s) @ p["w"]
+        h = np.tanh(_product(x, p["A"]) + p["a"])
+        t, s = np.tanh(_product(h, p["V"])), _sigmoid(_product(h, p["U"]))
+        e = _product(t * s, p["w"])
         top = np.maximum.reduceat(e, bounds[:-1])
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         e = np.exp(e - top[owner])
         attention = e / np.add.reduceat(e, bounds[:-1])[owner]
         z = np.add.reduceat(attention[:, None] * h, bounds[:-1], axis=0)
-        logit = z @ p["c"] + p["b"]
+        logit = _product(z, p["c"]) + p["b"]
         return logit, {"h": h, "t": t, "s": s, "attention": attention, "z": z, "owner": owner}
 
     def scores(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
