@@ -7,17 +7,22 @@ nearer than the worst in its list; pairs that met before are left out. Lists tak
 change. Vectors travel as 8-bit codes of their direction.
 
 Search. A query starts from its own list if it is in the graph, else from the best of ENTRIES vectors. Each round joins
-the unexpanded of its BEAM best with their lists and keeps the best; it ends when all of them are expanded. Then the
-beam's scores are computed in double precision on the original vectors.
+the unexpanded of its beam, the best found so far, with their lists and keeps the best; it ends when all of them are
+expanded, which it always comes to: what falls out of a beam never returns. Then the beam's scores are computed in double
+precision, on vectors scaled by a power of two so that no square overflows or vanishes (the scale cancels exactly).
+
+Beam. How wide a beam must be depends on the data and grows slowly with their number. So recall is measured: the nearest
+of PROBES of the queries are found among all vectors by brute force, in blocks, and while the search finds less than
+TARGET of them the beam is doubled and the search goes on from where it was.
 
 Equal vectors are one node, with its five smallest ids and the query's own at hand, so that copies, however many, are
 neither compared nor lost: the K + 1 nearest ids of any query need no more of a node than that.
 
 Bounds: the graph is N lists of K; what a vector gathers is 2 K at most, a block about LEAF; every row of the table is
-indexed. The graph holds approximate lists by nature; recall against brute force is measured in tests and README.
+indexed. A vector in very many lists (a hub) joins in HUB_PARTS parts. The graph holds approximate lists by nature; recall against brute force is measured in tests and README.
 
 Cases: null ids, null, empty or zero vectors and those with null or non-finite components take no part, nor those of
-another length than most; repeated rows of an id count once; with fewer than six vectors all others are found; ties go
+another length than most (a cosine needs vectors of one length); repeated rows of an id count once; with fewer than six vectors all others are found; ties go
 to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,10 +32,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, free_shuffles
+from .common import Tables, free_shuffles, let
 
 NEIGHBOURS = 5
 K = 32
@@ -40,21 +45,32 @@ ROUNDS = 6
 FEW = 0.02  # of all list entries changed: enough
 PROPOSALS = 10
 BEAM = 160
-STEPS = 12
+PROBES = 200
+TARGET = 0.97
+HUB = 2048  # lists that hold a vector, beyond which its join is dealt out
+HUB_PARTS = 64
 ENTRIES = 256
 SEED = 23
 
 
 # Nodes
+def scaled(v: Column) -> Column:
+    """v times the power of two that brings its largest component near 1: exact, in two factors as one may be out of range."""
+    half = F.floor(-F.floor(F.log2(F.array_max(F.transform(v, F.abs)))) / 2)
+    rest = -F.floor(F.log2(F.array_max(F.transform(v, F.abs)))) - half
+    powers = F.array(F.pow(F.lit(2.0), half.cast("double")), F.pow(F.lit(2.0), rest.cast("double")))
+    return let(powers, lambda p: F.transform(v, lambda x: x * p[0] * p[1]))
+
+
 def valid_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, v (array of doubles), h1 and h2 (a 128-bit mark of the vector), one row an id."""
+    """id, v (array of doubles, scaled), h1 and h2 (a 128-bit mark of the vector), one row an id."""
     v = F.col(vector_column).cast("array<double>")
     d = table.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = d.where(good & F.exists("v", lambda x: x != 0))
     common = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     d = d.where(F.size("v") == (common[0]["n"] if common else 0))
-    return d.groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"))
+    return d.groupBy("id").agg(F.min("v").alias("v")).select("id", scaled(F.col("v")).alias("v"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"))
 
 
 def _code_batches(bits: int):
@@ -196,7 +212,11 @@ def neighbour_graph(nodes: DataFrame, tables: Tables, rounds: int = ROUNDS) -> t
         met = edges.select(F.col("id").alias("owner"), F.col("to").alias("member"), "fresh").unionByName(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh"))
         worst = F.when(F.size("far") < K, F.lit(3.0)).otherwise(F.element_at("far", -1)).cast("float")
         known = lists.select("id", worst.alias("worst")).join(codes.select("id", "code", "scale"), "id")
-        carried = met.join(known, met.member == known.id).select("owner", F.struct("id", "code", "scale", "worst", "fresh").alias("x"))
+        hubs = met.groupBy("member").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("member", F.lit(True).alias("hub"))
+        dealt = met.join(hubs, "member", "left").withColumn("part", F.when(F.col("hub"), F.pmod(F.xxhash64("owner"), F.lit(HUB_PARTS))).otherwise(F.lit(0).cast("long")))
+        parts = F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        spread = known.join(hubs, known.id == hubs.member, "left").select("id", "code", "scale", "worst", F.explode(parts).alias("part"))
+        carried = dealt.join(spread, (dealt.member == spread.id) & (dealt.part == spread.part)).select("owner", F.struct("id", "code", "scale", "worst", "fresh").alias("x"))
         groups = carried.groupBy("owner").agg(F.collect_list("x").alias("m")).where(F.exists("m", lambda x: x["fresh"]))
         proposals = groups.select("m", F.lit(PROPOSALS).alias("k")).mapInArrow(_propose, "id long, near array<long>, far array<float>")
         new = tables.put(_take(lists.select("id", "near", "far"), proposals))
@@ -240,24 +260,28 @@ def _enter(entries):
     return each
 
 
-def _advance(batches):
-    """Rows: id, near, far, done (flags), found. Out: the BEAM best with flags; all that were there are done."""
-    for batch in batches:
-        n = batch.num_rows
-        old_row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
-        old_id, old_far = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-        row, ids, far = _nested(batch.column(3))
-        own = batch.column(0).to_numpy()
-        keep = ids != own[row] if len(row) else np.zeros(0, bool)
-        rows = np.concatenate([old_row, row[keep]])
-        all_ids, all_far = np.concatenate([old_id, ids[keep]]).astype(np.int64), np.concatenate([old_far, far[keep]]).astype(np.float32)
-        old = np.arange(len(rows)) < len(old_row)
-        pick, count = best_of(rows, all_ids, all_far, old, n, BEAM)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *_lists([all_ids[pick], all_far[pick], ~old[pick]], count)], names=["id", "near", "far", "fresh"])
+def _advance(width: int):
+    """Rows: id, near, far, found. Out: the width best with flags; all that were there are done."""
+
+    def each(batches):
+        for batch in batches:
+            n = batch.num_rows
+            old_row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
+            old_id, old_far = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            row, ids, far = _nested(batch.column(3))
+            own = batch.column(0).to_numpy()
+            keep = ids != own[row] if len(row) else np.zeros(0, bool)
+            rows = np.concatenate([old_row, row[keep]])
+            all_ids, all_far = np.concatenate([old_id, ids[keep]]).astype(np.int64), np.concatenate([old_far, far[keep]]).astype(np.float32)
+            old = np.arange(len(rows)) < len(old_row)
+            pick, count = best_of(rows, all_ids, all_far, old, n, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_lists([all_ids[pick], all_far[pick], ~old[pick]], count)], names=["id", "near", "far", "fresh"])
+
+    return each
 
 
 def search(lists: DataFrame, codes: DataFrame, queries: DataFrame, tables: Tables) -> DataFrame:
-    """queries: id, v. Per query: id, near, far, fresh; near are the BEAM best nodes found, without the query's own."""
+    """queries: id, v. Per query: id, near, far, fresh; near are the best nodes found, BEAM or more, without the query's own."""
     spark = queries.sparkSession
     q = tables.put(queries.select("id", "v").mapInArrow(_code_batches(0), "id long, code binary, scale float, cells array<long>").drop("cells"))
     edge = lists.select("id", F.explode("near").alias("to"))
@@ -268,19 +292,57 @@ def search(lists: DataFrame, codes: DataFrame, queries: DataFrame, tables: Table
     begun = q.join(lists.select("id"), "id", "left_anti").mapInArrow(_enter(entries), "id long, near array<long>, far array<float>")
     start = q.join(lists, "id").select("id", "near", "far").unionByName(begun)
     beam = tables.put(start.withColumn("fresh", F.transform("near", lambda x: F.lit(True))))
-    for _ in range(STEPS):
+    probes = q.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(PROBES).select("id", "code", "scale").collect()
+    truth = tables.put(_probe(codes, probes))
+    width = BEAM
+    while True:
+        beam = _walk(beam, q, graph, width, tables)
+        met = truth.join(beam.select("id", "near"), "id").agg(F.sum(F.size(F.array_intersect("best", "near"))), F.sum(F.size("best")), F.max(F.size("near"))).head()
+        if not met[1] or met[0] >= TARGET * met[1] or met[2] < width:  # or all that can be reached is in the beams
+            return beam
+        width *= 2
+        # those of the narrow beam are expanded anew, as what they led to and was too far then may be kept now
+        beam = beam.withColumn("fresh", F.transform("near", lambda x: F.lit(True)))
+
+
+def _walk(beam: DataFrame, q: DataFrame, graph: DataFrame, width: int, tables: Tables) -> DataFrame:
+    """Expands until every member of every beam is expanded. Ends: a beam's worst entry only gets nearer."""
+    while True:
         open_ = F.filter(F.arrays_zip("near", "fresh"), lambda x: x["fresh"])
         front = beam.select("id", F.explode(open_).alias("x")).select("id", F.col("x.near").alias("node"))
         if not front.limit(1).count():
-            break
+            return beam
         ready = front.join(q, "id").join(graph.select(F.col("id").alias("node"), "m"), "node").select("id", "code", "scale", "m")
         found = ready.mapInArrow(_expand, "id long, near array<long>, far array<float>").groupBy("id").agg(F.collect_list(F.struct("near", "far")).alias("p"))
         state = beam.join(found, "id", "left").select("id", "near", "far", F.coalesce("p", F.array().cast(EMPTY)).alias("p"))
-        new = tables.put(state.mapInArrow(_advance, LISTS))
-        tables.drop(beam)
+        new = tables.put(state.mapInArrow(_advance(width), LISTS))
+        if hasattr(beam, "_table_path"):
+            tables.drop(beam)
         beam = new
-        free_shuffles(spark)
-    return beam
+        free_shuffles(beam.sparkSession)
+
+
+def _probe(codes: DataFrame, probes) -> DataFrame:
+    """Per probe: id, best (its NEIGHBOURS nearest among all codes). Each batch of codes gives its best few, an aggregate the best of these."""
+    ids = np.array([r["id"] for r in probes], np.int64)
+    code = np.array([np.frombuffer(r["code"], np.int8) * r["scale"] for r in probes], np.float32)
+
+    def each(batches):
+        for batch in batches:
+            if not len(ids) or not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            far = 1 - code @ (_matrix(batch.column(1)).astype(np.float32) * batch.column(2).to_numpy()[:, None]).T
+            far[ids[:, None] == own[None, :]] = 4
+            k = min(NEIGHBOURS, far.shape[1])
+            near = np.argpartition(far, k - 1, axis=1)[:, :k]
+            d = np.take_along_axis(far, near, axis=1).ravel()
+            good = d < 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[good]), pa.array(d[good].astype(np.float32)), pa.array(own[near].ravel()[good])], names=["id", "far", "to"])
+
+    each_best = codes.select("id", "code", "scale").mapInArrow(each, "id long, far float, to long")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "to"))
+    return each_best.withColumn("r", rank).where(F.col("r") <= NEIGHBOURS).groupBy("id").agg(F.collect_list("to").alias("best"))
 
 
 def nearest(table: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", n: int = NEIGHBOURS) -> DataFrame:
