@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
-from .license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, WITHIN, op8_license_scan
+from .license_scan import DEFAULT, PHRASES, op8_license_scan
 from .mixing import op4_temperature_mixing
 from .near_duplicates import op10_minhash_near_dedup
 from .nearest_neighbours import op2_nn_descent
@@ -52,22 +52,22 @@ SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.c) AS
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id
 """
 
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', {_list(sorted(set(t.split())))})" for k, (label, t) in enumerate(TEMPLATES))
-_WITHIN_ROWS = ", ".join(f"({a}, {b})" for a, b in WITHIN)
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{t.label}', {_list(t.words)}, {t.need}, {t.span})" for k, t in enumerate(DEFAULT.each))
+_WITHIN_ROWS = ", ".join(f"({a}, {b})" for a, b in DEFAULT.within)
 _LICENSE = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 base AS (SELECT doc_id, w, {", ".join(f"{_places(p)} AS p{k}" for k, (p, _) in enumerate(PHRASES))} FROM words),
 found AS (SELECT *, list_concat({", ".join(f"p{k}" for k in range(len(PHRASES)))}) AS starts_at,
   list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS own FROM base),
-templates(k, label, t) AS (VALUES {_TEMPLATE_ROWS}),
-blocks AS (SELECT doc_id, unnest(range(-1, len(w) // {STRIDE} + 1)) AS b, w FROM words),
+templates(k, label, t, need, span) AS (VALUES {_TEMPLATE_ROWS}),
 within_(a, b) AS (VALUES {_WITHIN_ROWS}),
-sliced AS (SELECT doc_id, b, w[greatest(b * {STRIDE}, 0) + 1:b * {STRIDE} + {BLOCK}] AS w FROM blocks),
-met AS (SELECT doc_id, sliced.b AS block, k, label, len(list_intersect(t, w)) / len(t) AS share FROM sliced, templates
-  WHERE len(list_intersect(t, w)) >= ceil({THRESHOLD} * len(t))),
+at_ AS (SELECT doc_id, k, unnest(range(len(w))) AS i, w FROM words, templates WHERE len(list_intersect(t, w)) >= need),
+ahead AS (SELECT doc_id, k, label, i, len(t) AS m, need, list_slice(w, i + 1, i + span) AS v, t FROM at_ JOIN templates USING (k) WHERE list_contains(t, w[i + 1])),
+firsts AS (SELECT *, list_sort(list_transform(list_intersect(t, v), lambda x: list_position(v, x))) AS f FROM ahead),
+met AS (SELECT doc_id, k, label, i AS lo, i + f[need] - 1 AS hi, len(f) / m AS share FROM firsts WHERE len(f) >= need),
 meant AS (SELECT * FROM met m WHERE NOT EXISTS (
-  SELECT 1 FROM within_ i JOIN met o ON o.k = i.b WHERE i.a = m.k AND o.doc_id = m.doc_id AND o.block = m.block)),
+  SELECT 1 FROM within_ i JOIN met o ON o.k = i.b WHERE i.a = m.k AND o.doc_id = m.doc_id AND o.lo <= m.lo AND m.hi <= o.hi)),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM meant GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts_at) AS BIGINT) AS n_base, list_min(starts_at) AS first_word, list_max(starts_at) AS last_word,
   array_to_string(list_sort(list_distinct(own)), ',') AS base_labels,
