@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import Tables, documents
 from .near_duplicates import buffers_of, pieces
+from .sharding import ahead
 
 SEQUENCE = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
+PARTS = 1024  # totals that one window sums up
+BROADCAST_ROWS = 1_000_000  # of the partitions' offsets, 16 bytes each
 CACHED = 300_000  # words; beyond, those that have come once are forgotten
 
 
@@ -195,14 +198,12 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tables = Tables(docs.sparkSession, "packing")
     held = tables.put(tokenised(docs, path or vocabulary_path()))
-    # a row for each partition of the input
-    totals = held.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    offsets, ahead = [], 0
-    for r in totals:
-        offsets.append((r["part"], ahead))
-        ahead += r["n"]
-    base = docs.sparkSession.createDataFrame(offsets, "part long, ahead long")
-    placed = held.join(F.broadcast(base), "part").select("doc_id", (F.col("first") + F.col("ahead")).alias("at"), "n", "ids")
+    # a row for each partition of the input; their sums ahead, in two passes
+    totals = held.groupBy("part").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0))
+    base = tables.put(ahead(totals, ["all"], F.floor(F.col("part") / PARTS), ["part"], "n").select("part", F.col("before").alias("ahead")))
+    if base.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
+    placed = held.join(base, "part").select("doc_id", (F.col("first") + F.col("ahead")).alias("at"), "n", "ids")
     return placed.mapInArrow(_cut, ", ".join(f"{c} long" for c in PIECE.split()))
 
 
