@@ -7,6 +7,10 @@ gives the number of guesses an informed attacker needs. A brute-force character
 classes of the value have members, so random values of 8 characters reach the bound if they mix classes or are letters;
 digits alone need 11. A value of MIN_LOG10_GUESSES or more is reported as `guess`.
 
+Words are those of WORDS, the commonest in passwords first, then those of a public vocabulary file in the order of its
+ids (frequent ones first); its path is a parameter. Runs and walks count from any of their first LONGEST places, which
+is all that can matter: further in, to have begun earlier is cheaper.
+
 Offsets are code points, ends exclusive. Overlapping spans of different kinds are all reported; a `guess` span that
 base spans cover wholly is dropped, for the base has it. One that they meet in part is reported whole, so that no end of
 the value is left.
@@ -18,13 +22,16 @@ give repeated results; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .packing import vocabulary_path
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 11.0
@@ -52,13 +59,26 @@ WORDS = (
     "name the and for with this that from not are was"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, WORDS))
+LONGEST = 15  # letters of a word
 LOOKALIKE = str.maketrans("4@831!05$7", "aabeilosst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+@cache
+def words_of_file(path: str) -> dict[str, int]:
+    """Ranks of WORDS and, behind them, of the whole words of letters in a vocabulary, by id."""
+    with open(path) as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (x[:-4] for x, _ in sorted(vocabulary.items(), key=lambda kv: kv[1]) if x.endswith("</w>"))
+    out = dict(RANK)
+    for w in whole:
+        if 4 <= len(w) <= LONGEST and w.isascii() and w.isalpha():
+            out.setdefault(w, len(out) + 1)
+    return out
+
+
 def _near(a: str, b: str) -> bool:
     """Neighbours on the keyboard or in the alphabet or digits."""
     p, q = _PLACE.get(a), _PLACE.get(b)
@@ -96,15 +116,11 @@ def _brute_force(value: str) -> list[float]:
     return out
 
 
-def log10_guesses(value: str) -> float:
+def log10_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
     """The least sum of log10 costs over all segmentations of value; 0 for an empty one."""
     n, low = len(value), value.lower()
     plain = low.translate(LOOKALIKE)
     brute = _brute_force(value)
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
     best = [0.0] * (n + 1)
     same = walk = 0  # where the run of one character, and the keyboard walk, that end here begin
     for j in range(1, n + 1):
@@ -113,16 +129,18 @@ def log10_guesses(value: str) -> float:
             same = j - 1
         if j > 1 and not _near(low[j - 1], low[j - 2]):
             walk = j - 1
-        if j - same >= 3:
-            cost = min(cost, best[same] + math.log10(36 * (j - same)))
-        if j - walk >= 3:
-            cost = min(cost, best[walk] + math.log10(47 * 4 * (j - walk)))
+        for i in range(same, min(same + LONGEST, j - 2)):
+            cost = min(cost, best[i] + math.log10(36 * (j - i)))
+        for i in range(walk, min(walk + LONGEST, j - 2)):
+            cost = min(cost, best[i] + math.log10(47 * 4 * (j - i)))
         for i in range(max(0, j - LONGEST), j - 2):
-            if rank := RANK.get(low[i:j]) or RANK.get(plain[i:j]):
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
                 varied = 0.0 if value[i:j].islower() else math.log10(2) if value[i : i + 1].isupper() and value[i + 1 : j].islower() or value[i:j].isupper() else math.log10(2 + (j - i))
-                cost = min(cost, best[i] + math.log10(rank + 1) + varied + (0 if low[i:j] in RANK else math.log10(4)))
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + math.log10(365 * 60 if j - i > 4 else 60))
+                cost = min(cost, best[i] + math.log10(rank + 1) + varied + (0 if low[i:j] in ranks else math.log10(4)))
+        if value[j - 1].isdigit():
+            for size in (4, 8, 9, 10):
+                if j >= size and value[j - size].isdigit() and DATE.fullmatch(value, j - size, j):
+                    cost = min(cost, best[j - size] + math.log10(365 * 60 if size > 4 else 60))
         for width in (2, 3, 4):  # a block again
             if j >= 2 * width and low[j - width : j] == low[j - 2 * width : j - width]:
                 cost = min(cost, best[j - width] + math.log10(2))
@@ -141,7 +159,7 @@ def _union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     return out
 
 
-def secrets(text: str | None) -> list[tuple[int, int, str]]:
+def secrets(text: str | None, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """start, end and kind of every span, by start, then by kind as listed in KINDS."""
     if not text:
         return []
@@ -154,7 +172,7 @@ def secrets(text: str | None) -> list[tuple[int, int, str]]:
         covered = _union(base)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(x <= a and b <= y for x, y in covered) and log10_guesses(m[1]) >= MIN_LOG10_GUESSES:
+            if not any(x <= a and b <= y for x, y in covered) and log10_guesses(m[1], ranks) >= MIN_LOG10_GUESSES:
                 more.append((a, b, "guess"))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -172,35 +190,43 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
     return "".join(out) + text[end:] if spans else text
 
 
-def _scan(batches):
-    for batch in batches:
-        rows = [[], [], [], [], []]
-        for text in batch.column(1):
-            spans = secrets(text.as_py())
-            base = [s for s in spans if s[2] != "guess"]
-            for column, kind in zip(rows, KINDS[:3], strict=False):
-                column.append(sum(s[2] == kind for s in spans))
-            rows[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
-            rows[4].append(joined(spans))
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+def _scan(path: str):
+    def each(batches):
+        ranks = words_of_file(path)
+        for batch in batches:
+            rows = [[], [], [], [], []]
+            for text in batch.column(1):
+                spans = secrets(text.as_py(), ranks)
+                base = [s for s in spans if s[2] != "guess"]
+                for column, kind in zip(rows, KINDS[:3], strict=False):
+                    column.append(sum(s[2] == kind for s in spans))
+                rows[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
+                rows[4].append(joined(spans))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return each
 
 
-def secret_scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+def secret_scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans. vocabulary: the path of a file of words that every executor has."""
+    scan = _scan(vocabulary or vocabulary_path())
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
-    """The documents with every span replaced by mark, and n_chars, where there is such a column, counted anew."""
+def redact(docs: DataFrame, mark: str = "[redacted]", vocabulary: str | None = None) -> DataFrame:
+    """The documents with every span replaced by mark, and n_chars, where there is such a column, counted anew. Every row
+    stays; null and empty texts are as they were."""
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    path = vocabulary or vocabulary_path()
 
     def each(batches):
+        ranks = words_of_file(path)
         for batch in batches:
             arrays = list(batch.columns)
             old = [x.as_py() for x in arrays[at]]
-            new = [x and redacted(x, secrets(x), mark) for x in old]
+            new = [x and redacted(x, secrets(x, ranks), mark) for x in old]
             arrays[at] = pa.array(new, batch.schema.field(at).type)
             if chars is not None:
                 held = arrays[chars].to_pylist()
