@@ -2,8 +2,9 @@
 
 A text's subwords are the byte n-grams of its words, with word ends as marks; each hashes to an embedding, the mean of
 all embeddings goes through a linear softmax. Both are trained by stochastic gradient descent in numpy, on windows of a
-bounded sample of labelled rows. A temperature, fitted on sampled rows kept out of training, calibrates the scores, and
-the least score at which accepted predictions reach ACCEPT accuracy there rejects the rest.
+bounded sample of labelled rows. A temperature, fitted on whole texts of sampled rows kept out of training, calibrates the
+scores, as whole texts are what is scored; the least score at which accepted predictions reach ACCEPT accuracy there
+rejects the rest.
 
 As mean and softmax are linear, embeddings and weights multiply out to one score row a bucket; a prediction is a gather
 and a sum over the whole text.
@@ -149,8 +150,9 @@ def train(texts: list[str], langs: list[str]) -> Model:
             emb[u] -= (rate * 10) * c[:, None] * back
     model = Model(names, (emb @ weight).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if out:
-        owner, offsets, data = windows([texts[i].encode() for i in held])
-        raw, y = model.scores(offsets, data), label[held][owner]
+        whole = [texts[i].encode() for i in held]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
+        raw, y = model.scores(offsets, np.frombuffer(b"".join(whole), np.uint8)), label[held]
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         loss = [-np.log(np.maximum(softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
