@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import Tables, documents
 
@@ -294,10 +295,10 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         label = new.select("rep", "comp")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept. base: the sketches of docs, or of some of them, if they are at hand."""
     tables = Tables(docs.sparkSession, "near-duplicates")
-    base = tables.put(sketches(docs))
+    base = tables.put(sketches(docs) if base is None else base)
     classes = base.where("n > 0 and doc_id is not null").groupBy("m1", "m2").agg(F.min_by(F.struct("doc_id", "n", "sketch"), "doc_id").alias("s"))
     rep = tables.put(classes.select(F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"), "m1", "m2"))
 
@@ -361,10 +362,30 @@ def blocks_of(family: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The kept document of each group, with its columns; rows without an id stay, one of each text."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """The kept document of each group, with its columns.
+
+    Of rows that repeat an id the one with the smallest hash stays. An id that stands for different sets names no one
+    document: its rows stay, one of each text, as do rows without an id. So a text goes only where a linked one stays.
+    """
+    tables = Tables(docs.sparkSession, "one-of-each")
+    base = tables.put(sketches(docs))
+    differ = [F.min(c) != F.max(c) for c in ("n", "m1", "m2")]
+    shared = tables.put(base.where("doc_id is not null").groupBy("doc_id").agg((differ[0] | differ[1] | differ[2]).alias("shared")).where("shared").select("doc_id"))
+    some = bool(shared.head(1))
+    out = near_duplicates(docs, base.join(shared, "doc_id", "left_anti") if some else base)
+    kept = out.where("kept and doc_id is not null").select("doc_id").distinct()
+
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.col("text").isNull()).alias("t"), whole.alias("mark"))
+    narrow = rows.select("doc_id", "t", "mark")
+    first = F.min("mark").alias("mark")
+    wanted = narrow.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first)
+    wanted = wanted.unionByName(narrow.where("doc_id is null").groupBy("doc_id", "t").agg(first).drop("t"))
+    if some:
+        wanted = wanted.unionByName(narrow.join(shared, "doc_id", "left_semi").groupBy("doc_id", "t").agg(first).drop("t"))
+    wanted = tables.put(wanted).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"))
+    met = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left_semi")
+    return met.dropDuplicates(["doc_id", "mark"]).select("row.*")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
