@@ -209,15 +209,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Decisi
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns; learned from those of them that have labels.
 
-    Statistics are computed once, beside the id and a hash of the text; rows are the same if those are.
+    Statistics are computed once and written beside the row, so the filter reads rows where they lie and shuffles none.
+    A null or empty text fails the base rule and goes; repeated rows stay or go together; labels that contradict each
+    other count as the higher, so that doubt keeps.
     """
     tables = Tables(docs.sparkSession, "quality-rules")
-    mark = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    stats = tables.put(docs.select("doc_id", mark.alias("__mark"), text_statistics(F.col("text")).alias("s")).select("doc_id", "__mark", "s.*"))
-    rules = fit(stats, labels, tables)
-    s = {c: F.col(c) for c in COUNTS}
-    kept = stats.where(~base_failed(s) & (rules.rule_number(features(s)) == 0)).select(F.col("doc_id").alias("__id"), "__mark").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    each = tables.put(docs.select(row, F.col("doc_id"), text_statistics(F.col("text")).alias("s")))
+    rules = fit(each.select("doc_id", "s.*"), labels, tables)
+    s = F.col("s")
+    return each.where(~base_failed(s) & (rules.rule_number(features(s)) == 0)).select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
