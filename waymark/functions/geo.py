@@ -96,6 +96,11 @@ def from_e6(value: Column, pad: float = 0.0) -> Column:
     return value / 1_000_000 + pad
 
 
+def clicked(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """A point on a map as it is searched for: to four places, about eleven metres."""
+    return F.round(lat, 4), F.round(lon, 4)
+
+
 def point_key(lat: Column, lon: Column) -> Column:
     return F.format_string("%.6f,%.6f", lat, lon)
 

@@ -157,6 +157,24 @@ def expand_direction(cc: str, token: str, dictionary: Dictionary = DEFAULT) -> l
     return dictionary.expand("direction", cc, token)
 
 
+def expand_tokens(tokens: DataFrame, dictionary: Dictionary = DEFAULT, kind: str = "street") -> DataFrame:
+    """Dictionary.expand for many tokens: country, token, variants. Tokens are taken as normalised.
+
+    Languages of countries, ambiguous tokens and spellings are joined as tables (spellings by an equality of language and
+    form), and each distinct pair of country and token is expanded once.
+    """
+    spark = tokens.sparkSession
+    known = spark.createDataFrame([(cc, lang, k) for cc, langs in LANGUAGES.items() for k, lang in enumerate(langs)], "country string, lang string, place int")
+    vague = spark.createDataFrame([(lang, t, True) for lang, ts in dictionary.ambiguous.items() for t in sorted(ts)], "lang string, token string, vague boolean")
+    forms = dictionary.table(spark).where(F.col("kind") == kind).select("lang", F.col("form").alias("token"), "variants")
+    each = tokens.select("country", "token").distinct().join(F.broadcast(known), "country", "left").withColumns({"lang": F.coalesce("lang", F.lit("en")), "place": F.coalesce("place", F.lit(0))})
+    met = each.join(forms, ["lang", "token"], "left").join(vague, ["lang", "token"], "left")
+    spelled = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("variants").isNotNull(), F.struct("place", "variants")))), lambda x: x["variants"]))
+    out = met.groupBy("country", "token").agg(F.bool_or("vague").alias("vague"), spelled.alias("more"))
+    alone = F.array("token")
+    return out.select("country", "token", F.when(F.col("vague"), alone).otherwise(F.array_distinct(F.concat(alone, "more"))).alias("variants"))
+
+
 def street_prefixes(street: str, cc: str | None, dictionary: Dictionary = DEFAULT) -> list[str]:
     """Lower-case prefixes that a stored street may have for a typed one: its type is expanded, else its leading direction."""
     from .text import NUMBER_FIRST

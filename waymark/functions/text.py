@@ -319,7 +319,7 @@ def elapsed(seconds: float) -> str:
     return f"{seconds:.2f}s"
 
 
-_CHECKS = {"country": r"[A-Z]{2}", "tile": r"[0-9a-fA-F]+", "bucket": r"[0-9a-zA-Z_]+", "release": r"\d{4}-\d{2}-\d{2}\.\d+"}
+_CHECKS = {"country": r"[A-Z]{2}", "tile": r"[0-9a-fA-F]+|t\d+x\d+", "bucket": r"[0-9a-zA-Z_]+", "release": r"\d{4}-\d{2}-\d{2}\.\d+"}
 
 
 def check(kind: str, value: str) -> str:

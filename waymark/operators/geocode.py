@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, Box, DegreeGrid, Grid, haversine, in_box, point_key, radius_box
 from ..functions.synonyms import DEFAULT, Dictionary
 from ..functions.text import check, check_limit, check_number, normalize
-from .parsing import Address, parse, parse_column
-from .predicates import address_filter
+from .parsing import Address, parse
+from .predicates import address_filter, conditions
 from .search import LONGEST
 
 FIELDS = ("full_address", "street", "number", "unit", "city", "region", "postcode", "lat", "lon", "cell")
@@ -43,27 +44,62 @@ def narrow_tiles(tiles: list[str], city_tiles: list[str] | None, only_city: bool
     return inside if only_city else inside + [t for t in tiles if t not in set(city_tiles)]
 
 
-def geocode_batch(addresses: DataFrame, queries: DataFrame, limit: int = 1, streets: DataFrame | None = None) -> DataFrame:
-    """The best addresses for many texts. queries: query_id, country, text. streets: country, street_norm, if there is an index.
+def asked_for(text: Column, cc: Column, dictionary: Dictionary = DEFAULT, normalized: bool = False) -> Column:
+    """The conditions of each text: a struct of prefixes, numbers, postcode. Parsed and expanded in Arrow batches."""
 
-    Texts are parsed once, in Arrow batches. Typed streets are prefixes of stored ones: they are resolved on the distinct
-    streets, keyed by all their prefixes, and then addresses join on country, street and number.
-    Both joins are equalities, so a common beginning (a street type) is no hot pair. Texts without street and number
-    match nothing.
+    @F.pandas_udf("prefixes array<string>, numbers array<string>, postcode string")
+    def each(texts: pd.Series, codes: pd.Series) -> pd.DataFrame:
+        rows = [conditions(parse(t or "", c or ""), dictionary, normalized) for t, c in zip(texts, codes, strict=True)]
+        return pd.DataFrame({"prefixes": [r.prefixes for r in rows], "numbers": [r.numbers for r in rows], "postcode": [r.postcode for r in rows]})
+
+    return each(text, cc)
+
+
+def geocode_batch(addresses: DataFrame, queries: DataFrame, limit: int = 1, streets: DataFrame | None = None, dictionary: Dictionary = DEFAULT, normalized: bool = False) -> DataFrame:
+    """The best addresses for many texts: of those that geocode() finds, the shortest streets first, then by id.
+
+    queries: query_id, country, text. streets: country, street_lower (street_norm if normalized), if there is an index.
+    Typed streets, in all their spellings, are prefixes of stored ones: they are resolved on the distinct streets, which are
+    keyed by their prefixes of the lengths that occur among the queries of the country, and then addresses join on country,
+    street and number. All joins are equalities, so a common beginning (a street type) is no hot pair. Texts without a
+    street are looked up by postcode or number; of a number alone only the best `limit` of its country are joined. Texts
+    that give no street, number or postcode match nothing (geocode() looks for their words instead).
     """
-    p = queries.select("query_id", "country", parse_column(F.col("text"), F.col("country")).alias("a"))
-    q = p.select("query_id", "country", F.col("a.number").alias("number"), normalize(F.col("a.street")).alias("prefix"), F.replace(F.lower("a.postcode"), F.lit(" "), F.lit("")).alias("pc"))
-    q = q.where(F.col("number").isNotNull() & (F.length("prefix") >= 1)).withColumn("key", F.substring("prefix", 1, LONGEST))
+    check_limit(limit, 10_000)
+    jp = F.col("country") == "JP"
     norm = F.col("street_norm") if "street_norm" in addresses.columns else normalize(F.col("street_lower"))
-    stored = addresses.withColumn("__norm", norm)
-    names = (streets.select("country", F.col("street_norm").alias("__norm")) if streets is not None else stored.select("country", "__norm")).distinct()
-    sizes = F.array(*map(F.lit, range(1, LONGEST + 1)))
-    keyed = names.withColumn("key", F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length("__norm")), lambda n: F.substr("__norm", F.lit(1), n))))
-    wanted = q.join(keyed, ["country", "key"]).where(F.startswith("__norm", "prefix"))
-    met = stored.join(wanted, ["country", "__norm", "number"])
-    met = met.where(F.col("pc").isNull() | (F.replace(F.lower("postcode"), F.lit(" "), F.lit("")) == F.col("pc")))
-    order = Window.partitionBy("query_id").orderBy(F.length("__norm"), "address_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "address_id", *FIELDS)
+    name = F.when(jp, F.col("street_lower")).otherwise(norm) if normalized else F.col("street_lower")
+    number = F.when(jp, F.split_part("number", F.lit("-"), F.lit(1))).otherwise(F.col("number"))
+    stored = addresses.withColumns({"__name": name, "__num": number, "__code": F.replace(F.lower("postcode"), F.lit(" "), F.lit(""))})
+    q = queries.select("query_id", "country", asked_for(F.col("text"), F.col("country"), dictionary, normalized).alias("a")).select("query_id", "country", "a.prefixes", "a.numbers", F.col("a.postcode").alias("code"))
+
+    typed = q.select("query_id", "country", "numbers", "code", F.explode("prefixes").alias("prefix"))
+    # % and _ of a typed street are wildcards in stored lower-case ones, as in geocode()
+    plain = F.lit(True) if normalized else (F.col("country") == "JP") | ~F.col("prefix").rlike("[%_]")
+    stem = F.when(plain, F.col("prefix")).otherwise(F.regexp_extract("prefix", "^[^%_]*", 0))
+    typed = typed.withColumn("key", F.substring(stem, 1, LONGEST))
+    sizes = typed.select("country", F.length("key").alias("size")).distinct()  # LONGEST rows a country at most
+    names = (streets.select("country", F.col("street_norm" if normalized else "street_lower").alias("__name")) if streets is not None else stored.select("country", "__name")).distinct()
+    keyed = names.join(F.broadcast(sizes), "country").where(F.length("__name") >= F.col("size")).select("country", "__name", F.substr("__name", F.lit(1), F.col("size")).alias("key"))
+    pattern = F.concat(F.replace(F.col("prefix"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    starts = F.when(plain, F.startswith("__name", "prefix")).otherwise(F.like("__name", pattern))
+    met = typed.select("country", "key", "prefix").distinct().join(keyed, ["country", "key"]).where(starts).select("country", "prefix", "__name")
+    wanted = typed.drop("key").join(met, ["country", "prefix"]).select("query_id", "country", "__name", "numbers", "code").distinct()
+
+    same_code = F.col("code").isNull() | (F.col("__code") == F.col("code"))
+    exact = wanted.where(F.size("numbers") > 0).withColumn("__num", F.explode("numbers"))
+    found = stored.join(exact, ["country", "__name", "__num"]).where(same_code)
+    open_ = stored.join(wanted.where(F.size("numbers") == 0), ["country", "__name"]).where(same_code)
+    bare = q.where((F.size("prefixes") == 0) & F.col("code").isNotNull()).select("query_id", "country", F.col("code").alias("__code"), "numbers")
+    coded = stored.join(bare, ["country", "__code"]).where((F.size("numbers") == 0) | F.array_contains("numbers", F.col("__num")))
+    best = Window.partitionBy("country", "__num").orderBy(F.length("__name"), "address_id")
+    first = stored.where(F.col("__num").isNotNull()).withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
+    lone = q.where((F.size("prefixes") == 0) & F.col("code").isNull()).select("query_id", "country", F.explode("numbers").alias("__num"))
+    numbered = first.join(lone, ["country", "__num"])
+    columns = ["query_id", "address_id", "__name", *FIELDS]
+    every = found.select(*columns).unionByName(open_.select(*columns)).unionByName(coded.select(*columns)).unionByName(numbered.select(*columns))
+    order = Window.partitionBy("query_id").orderBy(F.length("__name"), "address_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "address_id", *FIELDS)
 
 
 def tiles_at(tile_index: DataFrame, points: DataFrame, steps: int = 0, grid: Grid | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -35,23 +36,38 @@ def same_postcode(postcode: str) -> Column:
     return (F.lower("postcode") == bare) | (F.replace(F.lower("postcode"), F.lit(" "), F.lit("")) == bare)
 
 
-def address_filter(a: Address, dictionary: Dictionary = DEFAULT, normalized: bool = False) -> Column:
-    """What a stored address must meet. Italian and Japanese data have no postcodes, so those are not asked for."""
+@dataclass(frozen=True)
+class Conditions:
+    """What a stored address must meet: any of the prefixes, any of the numbers, the postcode; what is empty asks for nothing."""
+
+    prefixes: list[str]
+    numbers: list[str]
+    postcode: str | None
+
+
+def conditions(a: Address, dictionary: Dictionary = DEFAULT, normalized: bool = False) -> Conditions:
+    """Italian and Japanese data have no postcodes, so those are not asked for. Japanese numbers are first parts of stored ones."""
     if a.cc == "JP":
-        parts = []
-        if a.street:
-            parts.append(reduce(or_, (F.col("street_lower").startswith(s.lower()) for s in chome_spellings(a.street))))
-        if numbers := a.number_variants or ([a.number] if a.number else []):
-            parts.append(F.split_part("number", F.lit("-"), F.lit(1)).isin(numbers))
-        return reduce(and_, parts) if parts else token_filter(a.tokens, 1)
-    parts = []
-    if a.postcode and a.cc != "IT":
-        parts.append(same_postcode(a.postcode))
-    if a.street:
-        parts.append((normalized_street_filter if normalized else street_filter)(a.street, a.cc, dictionary))
-    if a.number:
-        parts.append(F.col("number") == a.number)
-    return reduce(and_, parts) if parts else token_filter(a.tokens, 2)
+        return Conditions([s.lower() for s in chome_spellings(a.street)] if a.street else [], a.number_variants or ([a.number] if a.number else []), None)
+    typed = (normalize_py(a.street) if normalized else a.street) or ""
+    prefixes = street_prefixes(typed, a.cc, dictionary) if a.street else []
+    if normalized:
+        prefixes = list(dict.fromkeys(map(normalize_py, prefixes)))
+    code = "".join(a.postcode.lower().split()) if a.postcode and a.cc != "IT" else None
+    return Conditions(prefixes, [a.number] if a.number else [], code)
+
+
+def address_filter(a: Address, dictionary: Dictionary = DEFAULT, normalized: bool = False) -> Column:
+    """The conditions as a filter; without any, every token of the text is looked for in the full address."""
+    c, jp, parts = conditions(a, dictionary, normalized), a.cc == "JP", []
+    if c.postcode:
+        parts.append(same_postcode(c.postcode))
+    if c.prefixes:
+        starts = F.col("street_norm" if normalized and not jp else "street_lower")
+        parts.append(reduce(or_, (starts.startswith(p) if jp or normalized else like_prefix(starts, p) for p in c.prefixes)))
+    if c.numbers:
+        parts.append(F.split_part("number", F.lit("-"), F.lit(1)).isin(c.numbers) if jp else F.col("number") == c.numbers[0])
+    return reduce(and_, parts) if parts else token_filter(a.tokens, 1 if jp else 2)
 
 
 def city_name(city: Column) -> Column:

@@ -106,9 +106,9 @@ def narrow_street(streets: DataFrame, street: str, cc: str, exact: bool, diction
 
 
 def house_numbers(addresses: DataFrame, street: str, prefix: str, limit: int = 15) -> DataFrame:
-    """Distinct numbers of a street by prefix, in text order."""
+    """Distinct numbers of a street by prefix, in text order, nulls last."""
     found = addresses.where((F.col("street_lower") == street.lower()) & like_prefix(F.col("number"), prefix))
-    return found.select("number", "street", "city", "postcode").distinct().orderBy("number", "city", "postcode").limit(check_limit(limit, 10000))
+    return found.select("number", "street", "city", "postcode").distinct().orderBy(*[F.asc_nulls_last(c) for c in ("number", "city", "postcode")]).limit(check_limit(limit, 10000))
 
 
 def number_matches(numbers: Column, prefix: Column, japanese: bool = False, limit: int = 10) -> Column:

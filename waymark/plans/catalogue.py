@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..functions.synonyms import DEFAULT, LANGUAGES, street_prefixes
+from ..functions.synonyms import DEFAULT, LANGUAGES, expand_street, expand_tokens, street_prefixes
 from ..operators import geocode as G
 from ..operators import search as S
-from ..operators.parsing import parse, parse_column
+from ..operators.parsing import US_SUFFIXES, parse, parse_column
 from ..operators.predicates import address_filter, city_name, street_filter
+from ..sources.catalog import Catalog
 from . import indexes, stats
 
 ADDR = """
@@ -110,14 +111,22 @@ def jp_split_part(addr, spark, sf_dir):
     return addr.where((F.col("country") == "JP") & bare.isin("24", "8")).select("address_id", "number", bare.alias("banchi"))
 
 
-@query("SELECT address_id, full_address FROM addr WHERE country = 'DE' AND street_lower LIKE 'red %' AND number LIKE '1_8'")
-def fwd_parsed_filter(addr, spark, sf_dir):
-    a = parse("Red Ring Road 108", "DE")
-    a.street, a.number = "red ", None
-    return G.in_tiles(addr, "DE").where(address_filter(a) & text.like_prefix(F.col("number"), "1_8") & (F.length("number") == 3)).select("address_id", "full_address")
+def _found(name: str, typed: str, cc: str, where: str):
+    def f(addr, spark, sf_dir):
+        return G.geocode(addr, typed, cc).select("full_address", "number", "lat", "lon")
+
+    f.__name__ = name
+    query(f"SELECT full_address, number, lat, lon FROM addr WHERE country = '{cc}' AND {where} LIMIT 100")(f)
+
+
+_found("fwd_parsed_filter", "Red Ring Avenue 260", "DE", "street_lower LIKE 'red ring avenue%' AND number = '260'")
+_found("fwd_synonyms", "256 Blue Anvil Street", "US", "(street_lower LIKE 'blue anvil street%' OR street_lower LIKE 'blue anvil st%') AND number = '256'")
+_found("fwd_italian", "Red Gear St 255 00184", "IT", "street_lower LIKE 'red gear st%' AND number = '255'")
+_found("fwd_japanese", "本郷 24", "JP", "street_lower LIKE '本郷%' AND split_part(number, '-', 1) = '24'")
+_found("fwd_japanese_number", "24", "JP", "split_part(number, '-', 1) = '24'")
 
 
-@query("SELECT DISTINCT number, street, city, postcode FROM addr WHERE street_lower = (SELECT min(street_lower) FROM addr) AND number LIKE '1%' ORDER BY number, city, postcode NULLS FIRST LIMIT 15")
+@query("SELECT DISTINCT number, street, city, postcode FROM addr WHERE street_lower = (SELECT min(street_lower) FROM addr) AND number LIKE '1%' ORDER BY number, city, postcode LIMIT 15")
 def house_numbers(addr, spark, sf_dir):
     first = addr.agg(F.min("street_lower")).head()[0]
     return S.house_numbers(addr, first, "1")
@@ -289,10 +298,9 @@ def street_numbers(addr, spark, sf_dir):
     return S.street_numbers(indexes.number_index(us), first or "").select("street_lower", F.array_join("numbers", ",").alias("numbers"))
 
 
-@query("SELECT address_id, CASE WHEN country IN ('US') THEN regexp_matches(postcode, '^[0-9]{5}(-[0-9]{4})?$') WHEN country IN ('DE','FR','ES','MX','FI') THEN regexp_matches(postcode, '^[0-9]{5}$') WHEN country = 'SE' THEN regexp_matches(postcode, '^[0-9]{3} ?[0-9]{2}$') WHEN country = 'PL' THEN regexp_matches(postcode, '^[0-9]{2}-?[0-9]{3}$') WHEN country IN ('NL','AT','BE','CH','DK','NO','AU') THEN regexp_matches(postcode, '^[0-9]{4}$') ELSE FALSE END AS whole FROM addr WHERE country NOT IN ('JP','IT','CA','BR','PT')")
+@query("SELECT address_id, CASE WHEN country IN ('US') THEN regexp_matches(postcode, '^[0-9]{5}(-[0-9]{4})?$') WHEN country IN ('DE','FR','ES','IT','MX','FI') THEN regexp_matches(postcode, '^[0-9]{5}$') WHEN country = 'SE' THEN regexp_matches(postcode, '^[0-9]{3} ?[0-9]{2}$') WHEN country = 'PL' THEN regexp_matches(postcode, '^[0-9]{2}-?[0-9]{3}$') WHEN country = 'NL' THEN regexp_matches(postcode, '^[0-9]{4}[a-zA-Z]{0,2}$') WHEN country = 'CA' THEN regexp_matches(postcode, '^[a-zA-Z][0-9][a-zA-Z] ?[0-9][a-zA-Z][0-9]$') WHEN country = 'BR' THEN regexp_matches(postcode, '^[0-9]{5}-?[0-9]{3}$') WHEN country = 'PT' THEN regexp_matches(postcode, '^[0-9]{4}(-[0-9]{3})?$') WHEN country = 'JP' THEN regexp_matches(postcode, '^[0-9]{3}-?[0-9]{4}$') WHEN country IN ('AT','BE','CH','DK','NO','AU') THEN regexp_matches(postcode, '^[0-9]{4}$') ELSE FALSE END AS whole FROM addr")
 def whole_postcode(addr, spark, sf_dir):
-    d = addr.where(~F.col("country").isin("JP", "IT", "CA", "BR", "PT"))
-    return d.select("address_id", text.whole_postcode(F.col("postcode"), F.col("country")).alias("whole"))
+    return addr.select("address_id", text.whole_postcode(F.col("postcode"), F.col("country")).alias("whole"))
 
 
 # Reverse geocoding
@@ -380,17 +388,23 @@ def _values(rows) -> str:
 
 
 _DICT = [(lang, form, forms) for lang, kind, form, forms in DEFAULT.rows() if kind == "street"]
-_LANGS = ", ".join(f"('{cc}', '{ls[0]}')" for cc, ls in LANGUAGES.items())
-
-
-@query(f", d(lang, form, variants) AS (VALUES {_values(_DICT)}), l(country, lang) AS (VALUES {_LANGS}), t AS (SELECT address_id, country, list_extract(string_split(street_lower, ' '), -1) AS tail FROM addr) SELECT address_id, tail, coalesce(d.variants, tail) AS variants FROM t LEFT JOIN l USING (country) LEFT JOIN d ON d.lang = coalesce(l.lang, 'en') AND d.form = tail")
+_LANGS = ", ".join(f"('{cc}', '{lang}', {k})" for cc, langs in LANGUAGES.items() for k, lang in enumerate(langs))
+_VAGUE = ", ".join(f"('{lang}', '{t}')" for lang, tokens in DEFAULT.ambiguous.items() for t in sorted(tokens))
+
+
+@query(f""", d(lang, form, variants) AS (VALUES {_values(_DICT)}), l(country, lang, place) AS (VALUES {_LANGS}), vague(lang, form) AS (VALUES {_VAGUE}),
+  t AS (SELECT DISTINCT country, list_extract(string_split(street_lower, ' '), -1) AS tail FROM addr),
+  k AS (SELECT t.country, tail, coalesce(l.lang, 'en') AS lang, coalesce(place, 0) AS place FROM t LEFT JOIN l USING (country)),
+  v AS (SELECT k.country, tail, place, unnest(string_split(d.variants, ',')) AS v, generate_subscripts(string_split(d.variants, ','), 1) AS i FROM k JOIN d ON d.lang = k.lang AND d.form = tail
+        WHERE NOT EXISTS (SELECT 1 FROM k b JOIN vague ON vague.lang = b.lang AND vague.form = b.tail WHERE b.country = k.country AND b.tail = k.tail)),
+  o AS (SELECT country, tail, v, min(place * 1000 + i) AS o FROM v WHERE v != tail GROUP BY ALL),
+  x AS (SELECT country, tail, string_agg(v, ',' ORDER BY o) AS more FROM o GROUP BY ALL)
+  SELECT address_id, list_extract(string_split(street_lower, ' '), -1) AS tail, concat_ws(',', list_extract(string_split(street_lower, ' '), -1), more) AS variants
+  FROM addr a LEFT JOIN x ON x.country = a.country AND x.tail = list_extract(string_split(street_lower, ' '), -1)""")
 def expand_synonyms(addr, spark, sf_dir):
-    langs = spark.createDataFrame([(cc, ls[0]) for cc, ls in LANGUAGES.items()], "country string, lang string")
-    forms = DEFAULT.table(spark).where("kind = 'street'").select("lang", F.col("form").alias("tail"), "variants")
-    t = addr.select("address_id", "country", F.element_at(F.split("street_lower", " "), -1).alias("tail"))
-    known = t.join(F.broadcast(langs), "country", "left").withColumn("lang", F.coalesce("lang", F.lit("en")))
-    met = known.join(F.broadcast(forms), ["lang", "tail"], "left")
-    return met.select("address_id", "tail", F.coalesce(F.array_join("variants", ","), "tail").alias("variants"))
+    t = addr.select("address_id", "country", F.element_at(F.split("street_lower", " "), -1).alias("token"))
+    met = t.join(expand_tokens(t, DEFAULT), ["country", "token"])
+    return met.select("address_id", F.col("token").alias("tail"), F.array_join("variants", ",").alias("variants"))
 
 
 @query("SELECT address_id, country, CASE WHEN country IN ('US','CA','AU','NZ','BR','MX','CL','CO','UY','SG','HK','TW','GB','IE') THEN street_lower WHEN regexp_matches(number, '^[0-9]+[a-zA-Z]?$') THEN street_lower ELSE concat(street_lower, ' ', number) END AS q FROM addr")
@@ -400,10 +414,9 @@ def extract_street_query(addr, spark, sf_dir):
     return addr.select("address_id", "country", text.street_query(typed, F.col("country")).alias("q"))
 
 
-@query("SELECT address_id, country, CASE WHEN country IN ('US','DE','FR','ES','IT','FI') THEN regexp_matches(left(postcode, 4), '^[0-9]{1,5}$') WHEN country = 'CA' THEN regexp_matches(left(postcode, 4), '^[a-zA-Z][0-9][a-zA-Z]?$') WHEN country = 'PL' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,2}(-?[0-9]{0,3})?$') ELSE regexp_matches(left(postcode, 4), '^[0-9]{1,4}$') END AS partial FROM addr WHERE country NOT IN ('JP','BR','PT')")
+@query("SELECT address_id, country, CASE WHEN country IN ('US','DE','FR','ES','IT','FI') THEN regexp_matches(left(postcode, 4), '^[0-9]{1,5}$') WHEN country = 'CA' THEN regexp_matches(left(postcode, 4), '^[a-zA-Z][0-9][a-zA-Z]?$') WHEN country = 'PL' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,2}(-?[0-9]{0,3})?$') WHEN country = 'NL' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,4}[a-zA-Z]{0,2}$') WHEN country = 'BR' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,5}(-?[0-9]{0,3})?$') WHEN country = 'PT' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,4}(-?[0-9]{0,3})?$') WHEN country = 'JP' THEN regexp_matches(left(postcode, 4), '^[0-9]{1,3}(-?[0-9]{0,4})?$') ELSE regexp_matches(left(postcode, 4), '^[0-9]{1,4}$') END AS partial FROM addr")
 def partial_postcode(addr, spark, sf_dir):
-    d = addr.where(~F.col("country").isin("JP", "BR", "PT"))
-    return d.select("address_id", "country", text.partial_postcode(F.substring("postcode", 1, 4), F.col("country")).alias("partial"))
+    return addr.select("address_id", "country", text.partial_postcode(F.substring("postcode", 1, 4), F.col("country")).alias("partial"))
 
 
 @query("SELECT address_id, number, CASE WHEN contains(number, '-') THEN regexp_replace(number, '-[^-]*$', '') ELSE number END AS bare, length(street_lower) AS specificity FROM addr WHERE country = 'JP'")
@@ -414,24 +427,67 @@ def jp_zone_and_specificity(addr, spark, sf_dir):
 
 @query(f", s AS ({STREETS}), c AS (SELECT list(DISTINCT tile) AS ct FROM addr WHERE city = 'BUILDING 1') SELECT country, street_lower, CAST(len(list_intersect(tiles, ct)) AS INT) AS inside, CAST(len(list_filter(tiles, lambda x: NOT list_contains(ct, x))) AS INT) AS outside FROM s, c")
 def array_intersect_except(addr, spark, sf_dir):
-    city = addr.where("city = 'BUILDING 1'").select("tile").distinct().collect()  # the tiles of one city
-    ct = F.array(*[F.lit(r["tile"]) for r in city]).cast("array<string>")
-    return indexes.street_index(addr).select("country", "street_lower", F.size(F.array_intersect("tiles", ct)).alias("inside"), F.size(F.array_except("tiles", ct)).alias("outside"))
+    tiles = addr.where("city = 'BUILDING 1'").select("tile").distinct().withColumn("here", F.lit(1))
+    streets = indexes.street_index(addr).select("country", "street_lower", F.explode_outer("tiles").alias("tile"))
+    inside = F.count("here").cast("int")
+    return streets.join(tiles, "tile", "left").groupBy("country", "street_lower").agg(inside.alias("inside"), (F.count("tile").cast("int") - inside).alias("outside"))
+
+
+def _compact_sql(n: str) -> str:
+    """One place; of exact halves (a quarter of the unit, the only ones that a double holds and that even rounding lowers) up."""
+    units = ((10**9, "B"), (10**6, "M"), (10**3, "K"))
+    cases = " ".join(f"WHEN {n} >= {u} AND {n} % {u} = {u // 4} THEN concat({n} // {u}, '.3{c}') WHEN {n} >= {u} THEN format('{{:.1f}}{c}', {n} / {float(u)})" for u, c in units)
+    return f"CASE {cases} ELSE CAST({n} AS STRING) END"
 
 
-@query("SELECT address_id, CASE WHEN address_id >= 1000000000 THEN format('{:.1f}B', address_id / 1e9) WHEN address_id >= 1000000 THEN format('{:.1f}M', address_id / 1e6) WHEN address_id >= 1000 THEN format('{:.1f}K', address_id / 1e3) ELSE CAST(address_id AS STRING) END AS compact, replace(replace(replace(replace(concat('<', street, '>&\"'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM addr WHERE address_id % 1000 != 250 AND address_id % 100 != 50")
+@query(f"SELECT address_id, {_compact_sql('address_id')} AS compact, replace(replace(replace(replace(concat('<', street, '>&\"'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM addr")
 def formatting(addr, spark, sf_dir):
-    d = addr.where("address_id % 1000 != 250 AND address_id % 100 != 50")  # halves round differently
-    return d.select("address_id", text.compact(F.col("address_id")).alias("compact"), text.html_escape(F.concat(F.lit("<"), "street", F.lit('>&"'))).alias("html"))
+    return addr.select("address_id", text.compact(F.col("address_id")).alias("compact"), text.html_escape(F.concat(F.lit("<"), "street", F.lit('>&"'))).alias("html"))
 
 
-# Without SQL: parsers and similarity search on normalised text
-@query()
+# Parsers, batches and search on normalised text
+_TAILS = ("ave", "avenue", "st", "street", "rd", "road")
+_SPELLINGS = ", ".join(f"('{cc}', '{t}', '{v}')" for cc in sorted({ADDR[i : i + 2] for i in range(ADDR.index("'USCA") + 1, ADDR.index("'USCA") + 51, 2)}) for t in _TAILS for v in expand_street(cc, t))
+
+
+@query(f""", sp(country, tail, variant) AS (VALUES {_SPELLINGS}),
+  s AS (SELECT DISTINCT country, street_lower FROM addr),
+  w AS (SELECT s.country, s.street_lower AS typed, s2.street_lower AS stored FROM s JOIN sp ON sp.country = s.country AND sp.tail = list_extract(string_split(s.street_lower, ' '), -1)
+        JOIN s s2 ON s2.country = s.country AND starts_with(s2.street_lower, concat(regexp_replace(s.street_lower, '[^ ]+$', ''), sp.variant)) WHERE s.country != 'JP'),
+  m AS (SELECT q.address_id AS query_id, a.address_id, a.full_address, length(a.street_lower) AS n FROM addr q JOIN (SELECT DISTINCT * FROM w) w ON w.country = q.country AND w.typed = q.street_lower
+        JOIN addr a ON a.country = q.country AND a.street_lower = w.stored AND a.number = q.number
+        UNION ALL SELECT q.address_id, a.address_id, a.full_address, length(a.street_lower) FROM addr q JOIN addr a ON a.country = 'JP' AND split_part(a.number, '-', 1) = split_part(q.number, '-', 2) WHERE q.country = 'JP'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, address_id) AS rank FROM m) SELECT query_id, CAST(rank AS INT) AS rank, address_id, full_address FROM r WHERE rank = 1""")
 def geocode_batch(addr, spark, sf_dir):
     q = addr.select(F.col("address_id").alias("query_id"), "country", F.when(F.col("country").isin(sorted(text.NUMBER_FIRST - {"BR"})), F.concat_ws(" ", "number", "street")).otherwise(F.concat_ws(" ", "street", "number")).alias("text"))
     return G.geocode_batch(addr, q).select("query_id", "rank", "address_id", "full_address")
 
 
+_NUMBER = "[0-9]+[a-zA-Z]?"
+_SUFFIXES = "|".join(sorted(US_SUFFIXES))
+
+
+def _parse_sql(cc: str) -> str:
+    """The country's rules as patterns over the typed text: postcode out, then house number, then what is left of the street."""
+    first = cc in ("US", "CA", "AU", "FR")
+    typed = "concat_ws(' ', number, street, postcode)" if first else "concat_ws(' ', street, number, postcode)"
+    code = {"US": "[0-9]{5}(?:-[0-9]{4})?", "DE": "[0-9]{5}", "FR": "[0-9]{5}", "ES": "[0-9]{5}", "IT": "[0-9]{5}", "NL": "[0-9]{4}[a-zA-Z]{0,2}", "AU": "[0-9]{4}", "BR": "[0-9]{5}-?[0-9]{3}", "CA": "[a-zA-Z][0-9][a-zA-Z](?: ?[0-9][a-zA-Z][0-9])?", "JP": "[0-9]{3}-?[0-9]{4}"}.get(cc)
+    found = f"nullif(regexp_extract(typed, '(?:^| )({code})(?: |$)', 1), '')" if code else "NULL"
+    rest = f"trim(regexp_replace(typed, '(?:^| )(?:{code})(?: |$)', ' '))" if code else "typed"
+    if first or cc == "GB":  # GB: numbers come first, and typed behind the street one stays in it
+        number, street = f"nullif(regexp_extract(rest, '^({_NUMBER}) ', 1), '')", f"regexp_replace(rest, '^{_NUMBER} ', '')"
+        if cc == "FR":
+            number = f"coalesce({number}, nullif(regexp_extract(rest, ' ({_NUMBER})$', 1), ''))"
+        if cc == "US":
+            street = f"coalesce(nullif(regexp_extract({street}, '^(?:.* )?(?:{_SUFFIXES})(?: |$)'), ''), {street})"
+    elif cc == "JP":  # Latin letters are no street; of dashed digits the second
+        number, street = "coalesce(nullif(regexp_extract(rest, '([0-9]+)-([0-9]+)$', 2), ''), nullif(regexp_extract(rest, '([0-9]+)$', 1), ''))", "CAST(NULL AS STRING)"
+    else:
+        last = "[0-9]+[a-zA-Z]?(?:-[0-9]+[a-zA-Z]?)?" if cc == "DE" else _NUMBER
+        number, street = f"nullif(regexp_extract(rest, ' ({last})$', 1), '')", f"regexp_replace(rest, ' {last}$', '')"
+    return f", t AS (SELECT address_id, {typed} AS typed FROM addr WHERE country = '{cc}'), p AS (SELECT *, {found} AS postcode, {rest} AS rest FROM t) SELECT address_id, typed, trim({street}) AS street, {number} AS number, CAST(NULL AS STRING) AS unit, postcode FROM p"
+
+
 def _parse(cc: str):
     def f(addr, spark, sf_dir):
         typed = F.concat_ws(" ", "number", "street", "postcode") if cc in ("US", "CA", "AU", "FR") else F.concat_ws(" ", "street", "number", "postcode")
@@ -439,23 +495,132 @@ def _parse(cc: str):
         return d.select("address_id", "typed", parse_column(F.col("typed"), F.col("cc")).alias("a")).select("address_id", "typed", "a.street", "a.number", "a.unit", "a.postcode")
 
     f.__name__ = f"parse_{cc.lower()}"
-    query()(f)
+    query(_parse_sql(cc))(f)
 
 
 for _cc in ("US", "CA", "AU", "BR", "DE", "ES", "FR", "IT", "JP", "NL", "GB"):
     _parse(_cc)
 
 
-@query()
+def _search_sql(items: str, name: str, query_text: str, variants: list[str], limit: int) -> str:
+    """Those with a prefix; if they are fewer than three, those that contain the query too; the largest 2 * limit by similarity."""
+    starts = " OR ".join(f"starts_with({_fold_sql(name)}, '{v}')" for v in variants)
+    return f""", items AS ({items}), near AS (SELECT * FROM items WHERE {starts}),
+  found AS (SELECT * FROM near UNION ALL SELECT * FROM items WHERE (SELECT count(*) FROM near) < 3 AND NOT ({starts}) AND contains({_fold_sql(name)}, '{query_text}') AND {name} NOT IN (SELECT {name} FROM near)),
+  largest AS (SELECT *, {_jac(name, "'" + query_text + "'")} AS score FROM found ORDER BY addr_count DESC, pos LIMIT {2 * limit}), best AS (SELECT * FROM largest ORDER BY score DESC, addr_count DESC, pos LIMIT {limit})"""
+
+
+@query(_search_sql(f"SELECT *, street_lower AS pos FROM ({STREETS}) WHERE country = 'US'", "street_lower", "small ring avenue", ["small ring avenue", "small ring ave", "small ring av"], 15) + " SELECT street_lower, addr_count, primary_city FROM best")
 def search_streets(addr, spark, sf_dir):
-    s = indexes.street_index(G.in_tiles(addr, "US")).withColumn("pos", F.xxhash64("street_lower"))
+    s = indexes.street_index(G.in_tiles(addr, "US")).withColumn("pos", F.col("street_lower"))
     return S.search_streets(s, "small ring avenue", "US").select("street_lower", "addr_count", "primary_city")
 
 
-@query()
+_CITIES = f"SELECT country, {MERGED} AS city, region, CAST(count(*) AS INT) AS addr_count, concat(country, ' ', {MERGED}, ' ', region) AS pos FROM addr GROUP BY country, {MERGED}, region"
+
+
+def _cities(addr):
+    return indexes.merged_cities(indexes.city_index(addr)).withColumn("pos", F.concat_ws(" ", "country", "city", "region"))
+
+
+@query(_search_sql(_CITIES, "city", "paris", ["paris"], 20) + " SELECT country, city, addr_count FROM best")
 def search_cities(addr, spark, sf_dir):
-    c = indexes.merged_cities(indexes.city_index(addr)).withColumn("pos", F.xxhash64("country", "city"))
-    return S.search_cities(c, "paris").select("country", "city", "addr_count")
+    return S.search_cities(_cities(addr), "paris").select("country", "city", "addr_count")
+
+
+@query(_search_sql(_CITIES, "city", "ding 1", ["ding 1"], 20) + " SELECT country, city, addr_count FROM best")
+def search_cities_within(addr, spark, sf_dir):
+    return S.search_cities(_cities(addr), "ding 1").select("country", "city", "addr_count")
+
+
+@query("SELECT postcode, CAST(count(*) AS INT) AS addr_count FROM addr WHERE country = 'DE' AND starts_with(upper(postcode), '3') GROUP BY postcode ORDER BY addr_count DESC, postcode LIMIT 15")
+def search_postcodes(addr, spark, sf_dir):
+    return S.search_postcodes(indexes.postcode_index(G.in_tiles(addr, "DE")).withColumn("pos", F.col("postcode")), "3").select("postcode", "addr_count")
+
+
+@query("SELECT postcode, CAST(count(*) AS INT) AS addr_count FROM addr WHERE country = 'DE' AND postcode = '31598' GROUP BY postcode")
+def narrow_postcode(addr, spark, sf_dir):
+    return S.narrow_postcode(indexes.postcode_index(G.in_tiles(addr, "DE")), "315 98").select("postcode", "addr_count")
+
+
+_SCORE = f"""CASE WHEN street_lower = 'blue b' THEN 100.0 WHEN contains(concat(' ', street_lower, ' '), ' blue b ') THEN 80.0 WHEN starts_with(street_lower, 'blue b') THEN 60 + 1 / length(street_lower) WHEN contains(street_lower, 'blue b') THEN 40.0 ELSE 30 * {_jac("street_lower", "'blue b'")} END"""
+
+
+@query(f", s AS ({STREETS}) SELECT street_lower AS label, primary_city FROM s WHERE country = 'US' ORDER BY (lower(primary_city) = 'furniture 4' OR list_has_any(tiles, ['t40x60', 't41x61'])) DESC, round({_SCORE}, 9) DESC, street_lower LIMIT 40")
+def rank_suggestions(addr, spark, sf_dir):
+    items = S.suggestion_rows(indexes.street_index(G.in_tiles(addr, "US")), "street").withColumn("pos", F.col("label"))
+    return S.rank_suggestions(items, "blue b", "Furniture 4", ["t40x60", "t41x61"]).limit(40).select("label", "primary_city")
+
+
+@query(f"SELECT address_id, round({HAVERSINE.format(lat='-20.5', lon='-48.5')}, 3) AS distance_m FROM addr WHERE lat BETWEEN {_BOX.min_lat} AND {_BOX.max_lat} AND lon BETWEEN {_BOX.min_lon} AND {_BOX.max_lon} AND {HAVERSINE.format(lat='-20.5', lon='-48.5')} <= 9000 ORDER BY {HAVERSINE.format(lat='-20.5', lon='-48.5')}, address_id LIMIT 25")
+def reverse_within(addr, spark, sf_dir):
+    return G.reverse(addr, -20.5, -48.5, 20000, limit=25, max_m=9000).select("address_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(f", near AS (SELECT country, {MERGED} AS city FROM addr WHERE lat BETWEEN {_BOX.min_lat} AND {_BOX.max_lat} AND lon BETWEEN {_BOX.min_lon} AND {_BOX.max_lon} ORDER BY {HAVERSINE.format(lat='-20.5', lon='-48.5')}, address_id LIMIT 1) SELECT a.country, {MERGED} AS city, CAST(count(*) AS INT) AS addr_count FROM addr a WHERE a.country = (SELECT country FROM near) AND {MERGED} = (SELECT city FROM near) GROUP BY ALL")
+def place_of_point(addr, spark, sf_dir):
+    return G.place_of(G.reverse(addr, -20.5, -48.5, 20000), indexes.merged_cities(indexes.city_index(addr))).select("country", "city", "addr_count")
+
+
+@query(f", t AS ({TILES}), s AS (SELECT country, CAST(avg(address_count) AS INT) AS mean, CAST(median(address_count) AS INT) AS half, max(address_count) AS most FROM t GROUP BY country), b AS (SELECT country, max(lon) - min(lon) > 100 AS oversized_box FROM addr GROUP BY country) SELECT country, round(mean / half, 9) AS skew, round(most * 50 / 1024 / 1024, 9) AS estimated_mb, oversized_box FROM s JOIN b USING (country)")
+def index_skew(addr, spark, sf_dir):
+    out = stats.availability(stats.country_stats(indexes.tile_index(addr)), indexes.manifest(addr, "2026-03-18.0"))
+    return out.select("country", F.round("skew", 9).alias("skew"), F.round("estimated_mb", 9).alias("estimated_mb"), "oversized_box")
+
+
+@query("SELECT address_id, round(lat + 0.00002, 4) AS lat, round(lon + 0.00002, 4) AS lon FROM addr")
+def clicked_points(addr, spark, sf_dir):
+    lat, lon = geo.clicked(F.col("lat") + 0.00002, F.col("lon") + 0.00002)
+    return addr.select("address_id", lat.alias("lat"), lon.alias("lon"))
+
+
+# Lookups in a written index
+_written: dict[tuple[str, str], str] = {}
+
+
+def catalog(addr, spark: SparkSession, sf_dir: str) -> Catalog:
+    """A catalog over the written index of the folder; the index is written on first use, where driver and executors share a folder."""
+    import tempfile
+    import uuid
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{(shared or tempfile.mkdtemp(prefix='index-')).rstrip('/')}/index-{uuid.uuid4().hex}"
+        indexes.write_indexes(addr, root, "2026-03-18.0")
+        _written[key] = root
+    return Catalog(spark, _written[key])
+
+
+@query(f"SELECT {P1} FROM addr WHERE country = 'US' AND tile IN ('t40x60', 't41x61') AND street_lower LIKE 'red%'")
+def catalog_tiles(addr, spark, sf_dir):
+    c = catalog(addr, spark, sf_dir)
+    return G.in_tiles(c.addresses(), "US", ["t40x60", "t41x61"]).where(F.col("street_lower").startswith("red")).select(*G.FIELDS)
+
+
+@query(f", s AS ({STREETS}) SELECT street_lower, addr_count, primary_city FROM s WHERE country = 'US' AND street_lower LIKE 'red%' ORDER BY addr_count DESC, street_lower LIMIT 15")
+def catalog_streets(addr, spark, sf_dir):
+    return S.suggest_streets(catalog(addr, spark, sf_dir).country_table("streets", "US"), "red").select("street_lower", "addr_count", "primary_city")
+
+
+@query("SELECT street_lower, array_to_string(list_sort(list(DISTINCT number)), ',') AS numbers FROM addr WHERE country = 'DE' AND street_lower = 'red ring avenue' GROUP BY street_lower")
+def catalog_numbers(addr, spark, sf_dir):
+    n = catalog(addr, spark, sf_dir).table("number_index").where("country = 'DE'")
+    return S.street_numbers(n, "Red Ring Avenue").select("street_lower", F.array_join("numbers", ",").alias("numbers"))
+
+
+@query("SELECT country, count(*) AS address_count, '2026-03-18.0' AS release_tag FROM addr GROUP BY country")
+def catalog_manifest(addr, spark, sf_dir):
+    return catalog(addr, spark, sf_dir).globals()["manifest"].select("country", "address_count", "release_tag")
+
+
+@query("SELECT 'geocoder' AS name, count(*) AS num_rows FROM addr")
+def catalog_footers(addr, spark, sf_dir):
+    from ..sources.parquet_meta import file_metadata
+
+    return file_metadata(spark, catalog(addr, spark, sf_dir).path("geocoder")).agg(F.sum("num_rows").alias("num_rows")).select(F.lit("geocoder").alias("name"), "num_rows")
 
 
 @query()

@@ -97,13 +97,18 @@ def write_tiles(addr: DataFrame, root: str) -> None:
     addr.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "street_lower").write.partitionBy(*keys).parquet(f"{root}/geocoder")
 
 
-def write_indexes(addr: DataFrame, root: str, release: str) -> None:
-    """Everything a catalog reads, under root/release=<release>."""
+def write_indexes(addr: DataFrame, root: str, release: str, bucket_rows: int = 500_000) -> None:
+    """Everything a catalog reads, under root/release=<release>. Tiles of more than bucket_rows addresses get buckets.
+
+    Country tables are dealt out by ranges of country and key, so a large country is many tasks and files, each of which
+    holds a range of keys: a lookup reads one of them.
+    """
     base = f"{root}/release={release}"
+    addr = with_buckets(addr, bucket_rows)
     write_tiles(addr, base)
     for name, build in INDEXES.items():
         key = {"city_index": "city", "postcode_index": "postcode"}.get(name, "street_lower")
-        out = build(addr).repartition("country").sortWithinPartitions("country", key)
+        out = build(addr).repartitionByRange("country", key).sortWithinPartitions("country", key)
         writer = out.write.partitionBy("country")
         if name == "number_index":
             # a lookup of one street reads one small row group, and none where the filter says no
