@@ -340,14 +340,14 @@ def test_search_of_strangers(spark):
 
 
 # Pipeline and registration
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     df, kept = docs(spark), {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, SF)
-        out.write.mode("overwrite").parquet(f"/tmp/checkpoints/test-pipeline/{len(kept)}")
-        df = spark.read.parquet(f"/tmp/checkpoints/test-pipeline/{len(kept)}")
+        out.write.mode("overwrite").parquet(f"{tmp_path}/{len(kept)}")
+        df = spark.read.parquet(f"{tmp_path}/{len(kept)}")
         kept[name] = df
         assert name == "packing" or sorted(df.columns) == sorted(docs(spark).columns)
     n = {k: v.count() for k, v in kept.items()}
