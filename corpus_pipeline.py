@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last give the columns of documents.
+
+Cases, in every stage: null and empty texts fail the base rule and go in the first, elsewhere they stay; long texts are
+read whole; repeated rows become one in the second; an empty table gives an empty one; other columns, whatever their
+names, are carried along and not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; a text goes only where a linked one stays."""
     return one_of_each(docs)
 
 
