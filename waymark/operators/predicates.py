@@ -49,8 +49,8 @@ def conditions(a: Address, dictionary: Dictionary = DEFAULT, normalized: bool =
     """Italian and Japanese data have no postcodes, so those are not asked for. Japanese numbers are first parts of stored ones."""
     if a.cc == "JP":
         return Conditions([s.lower() for s in chome_spellings(a.street)] if a.street else [], a.number_variants or ([a.number] if a.number else []), None)
-    typed = (normalize_py(a.street) if normalized else a.street) or ""
-    prefixes = street_prefixes(typed, a.cc, dictionary) if a.street else []
+    street = a.street or ""
+    prefixes = street_prefixes(normalize_py(street) if normalized else street, a.cc, dictionary) if street else []
     if normalized:
         prefixes = list(dict.fromkeys(map(normalize_py, prefixes)))
     code = "".join(a.postcode.lower().split()) if a.postcode and a.cc != "IT" else None
