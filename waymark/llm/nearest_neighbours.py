@@ -3,11 +3,12 @@
 Graph. Every vector has a list of its K nearest so far. To begin with, vectors are dealt into blocks of about LEAF by the
 signs of random projections, and the best of a block fill the lists. Then rounds of joins: every vector gathers its
 neighbours and those it is a neighbour of (the K nearest of these), and proposes to each of them the others that are
-nearer than the worst in its list; pairs that met before are left out. Lists take the best. Rounds end when few lists
-change. Vectors travel as 8-bit codes of their direction.
+nearer than the worst in its list; pairs that met before are left out. Lists take the best. Rounds go on until a round
+changes FEW of the entries at most, which they come to as lists only improve. Vectors travel as 8-bit codes of their direction.
 
-Search. A query starts from its own list if it is in the graph, else from the best of ENTRIES vectors. Each round joins
-the unexpanded of its beam, the best found so far, with their lists and keeps the best; it ends when all of them are
+Search. Edges are walked both ways: a node leads to those in its list and to the K nearest that list it. A query starts
+from its own list if it is in the graph, else from the best of ENTRIES vectors. Each round joins the unexpanded of its
+beam, the best found so far, with what they lead to and keeps the best; it ends when all of them are
 expanded, which it always comes to: what falls out of a beam never returns. Then the beam's scores are computed in double
 precision, on vectors scaled by a power of two so that no square overflows or vanishes (the scale cancels exactly).
 
@@ -18,7 +19,7 @@ TARGET of them the beam is doubled and the search goes on from where it was.
 Equal vectors are one node, with its five smallest ids and the query's own at hand, so that copies, however many, are
 neither compared nor lost: the K + 1 nearest ids of any query need no more of a node than that.
 
-Bounds: the graph is N lists of K; what a vector gathers is 2 K at most, a block about LEAF; every row of the table is
+Bounds: the graph is N lists of K, and 2 K when walked both ways; what a vector gathers is 2 K at most, a block about LEAF; every row of the table is
 indexed. A vector in very many lists (a hub) joins in HUB_PARTS parts. The graph holds approximate lists by nature; recall against brute force is measured in tests and README.
 
 Cases: null ids, null, empty or zero vectors and those with null or non-finite components take no part, nor those of
@@ -41,7 +42,6 @@ NEIGHBOURS = 5
 K = 32
 LEAF = 192
 TREES = 2
-ROUNDS = 6
 FEW = 0.02  # of all list entries changed: enough
 PROPOSALS = 10
 BEAM = 160
@@ -190,7 +190,13 @@ def _take(lists: DataFrame, proposals: DataFrame) -> DataFrame:
     return joined.mapInArrow(_merge, LISTS)
 
 
-def neighbour_graph(nodes: DataFrame, tables: Tables, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _back(edges: DataFrame) -> DataFrame:
+    """edges: id, to, far and more. Of the edges to a node the K nearest."""
+    nearest = F.row_number().over(Window.partitionBy("to").orderBy("far", "id"))
+    return edges.withColumn("r", nearest).where(F.col("r") <= K).drop("r")
+
+
+def neighbour_graph(nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """nodes: id, v. Gives lists (id, near, far: the K nearest found, nearest first) and codes (id, code, scale)."""
     spark = nodes.sparkSession
     n = nodes.count()
@@ -205,10 +211,9 @@ def neighbour_graph(nodes: DataFrame, tables: Tables, rounds: int = ROUNDS) -> t
     empty = codes.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("far"))
     first = blocks.select("m", F.lit(K).alias("k")).mapInArrow(_propose, "id long, near array<long>, far array<float>")
     lists = tables.put(_take(empty, first))
-    for _ in range(rounds):
+    while True:
         edges = lists.select("id", F.explode(F.arrays_zip("near", "far", "fresh")).alias("e")).select("id", F.col("e.near").alias("to"), F.col("e.far").alias("far"), F.col("e.fresh").alias("fresh"))
-        nearest = F.row_number().over(Window.partitionBy("to").orderBy("far", "id"))
-        back = edges.withColumn("r", nearest).where(F.col("r") <= K).select(F.col("to").alias("owner"), F.col("id").alias("member"), "fresh")
+        back = _back(edges).select(F.col("to").alias("owner"), F.col("id").alias("member"), "fresh")
         met = edges.select(F.col("id").alias("owner"), F.col("to").alias("member"), "fresh").unionByName(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh"))
         worst = F.when(F.size("far") < K, F.lit(3.0)).otherwise(F.element_at("far", -1)).cast("float")
         known = lists.select("id", worst.alias("worst")).join(codes.select("id", "code", "scale"), "id")
@@ -225,8 +230,7 @@ def neighbour_graph(nodes: DataFrame, tables: Tables, rounds: int = ROUNDS) -> t
         lists = new
         free_shuffles(spark)
         if changed <= FEW * n * K:
-            break
-    return lists, codes
+            return lists, codes
 
 
 # Search
@@ -284,7 +288,8 @@ def search(lists: DataFrame, codes: DataFrame, queries: DataFrame, tables: Table
     """queries: id, v. Per query: id, near, far, fresh; near are the best nodes found, BEAM or more, without the query's own."""
     spark = queries.sparkSession
     q = tables.put(queries.select("id", "v").mapInArrow(_code_batches(0), "id long, code binary, scale float, cells array<long>").drop("cells"))
-    edge = lists.select("id", F.explode("near").alias("to"))
+    listed = lists.select("id", F.explode(F.arrays_zip("near", "far")).alias("e")).select("id", F.col("e.near").alias("to"), F.col("e.far").alias("far"))
+    edge = listed.select("id", "to").unionByName(_back(listed).select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct()
     coded = codes.select(F.col("id").alias("to"), "code", "scale")
     carried = edge.join(coded, "to").groupBy("id").agg(F.collect_list(F.struct("to", "code", "scale")).alias("m"))
     graph = tables.put(carried, codec="none")
