@@ -242,6 +242,22 @@ def test_encoder_forgets(monkeypatch):
         assert [g.tolist() for g in got] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_equals_library_for_every_character():
+    """One and two bytes long, alone and beside letters, marks and blanks; in either case."""
+    library = packing.Encoder(packing.vocabulary_path()).library
+    texts = [p + chr(c) + s for c in range(1, 0x300) for p in ("", "a", "\u00c9") for s in ("", ".", "b", "b.", ".b", " ,")]
+    got = [i.tolist() for _, _, ids in packing.encoded(pa.array(texts), packing.vocabulary_path(), 1000) for i in ids]
+    assert got == [[*e.ids, 1] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_encoder_asks_for_letters_and_marks_once():
+    encoder = packing.Encoder(packing.vocabulary_path())
+    texts = ["wordab, wordab. Wordab! wordab", "wordac, wordac. WORDAC! ét\u00c9."]
+    got = encoder.encode(texts, np.ones(2, bool))
+    assert [g.tolist() for g in got] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(encoder.number) == {"wordab", "wordac", "été", ",", ".", "!"}
+
+
 # Sharding
 @pytest.mark.parametrize("which", ["odd", "none", "sample", "copies"])
 def test_sharding(spark, odd, none, which):

@@ -5,9 +5,10 @@ partitions, summed up in order, turn those numbers into global offsets. The seco
 several windows gives a boundary record for each. So every id lies in one piece, sequences are full but for the last,
 and no task sees more than its own documents.
 
-Tokenising: the vocabulary's normalizer and pre-tokenizer cut a text at blanks at least, so words are encoded alone, and
-the ids of a word are looked up where it has occurred before; new words are encoded together by the library. Texts with
-characters outside the range where this is known to equal the library's own cutting go to the library whole.
+Tokenising: the vocabulary's normalizer and pre-tokenizer cut a text at blanks at least, and letters from marks behind
+them, so such units are encoded alone. They are found in the bytes of many texts at once, and the ids of a unit are looked
+up where it has occurred before; new units are encoded together by the library. Texts with characters outside the range
+where this is known to equal the library's own cutting go to the library whole.
 
 Cases: a null or empty text has only the end id; a text longer than a sequence spans several; repeated rows are packed
 each; an empty table gives no pieces; other columns are not read.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|%$&*#"  # ASCII marks that begin no unit with a letter behind them
 PARTS = 1024  # totals that one window sums up
 BROADCAST_ROWS = 1_000_000  # of the partitions' offsets, 16 bytes each
-CACHED = 300_000  # words; beyond, those that have come once are forgotten
+CACHED = 300_000  # units; beyond, those that have come once are forgotten
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,9 +57,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        # lower-case ASCII words pass the normalizer and the byte mapping unchanged: for them cutting at blanks is enough
-        bare = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        # lower-case ASCII letters pass the normalizer and the byte mapping unchanged, other letters of the range pass the
+        # normalizer so and the mapping is done here: for them cutting at blanks is enough
+        own = json.loads(self.library.to_str())
+        self.bare = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.bytewise = "ByteLevel" in json.dumps(own["pre_tokenizer"])
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -70,7 +73,7 @@ class Encoder:
         self.seen = np.zeros(0, np.int64)
 
     def forget(self, room: int) -> None:
-        """Keeps the words that have come again since the last time, the commonest, and no more than room."""
+        """Keeps the units that have come again since the last time, the commonest, and no more than room."""
         if len(self.number) <= room:
             return
         bound = max(2, int(np.partition(self.seen, -room)[-room]))
@@ -86,56 +89,122 @@ class Encoder:
         texts = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]  # the time per word is least there
         return np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Words of letters, with or without marks behind, are one or two units, and the last id of a unit ends a word:
-        they are encoded in texts of many. The others are encoded each."""
-        plain = [w for w in words if w.isalpha()]
-        marked, other = [], []
-        for w in words:
-            if not w.isalpha():
-                (marked if w.rstrip(MARKS).isalpha() else other).append(w)
-        pairs = [x for w in marked for stem in (w.rstrip(MARKS),) for x in (stem, w[len(stem) :])]
-        plain.sort(key=str.isascii)  # those beyond ASCII first
-        beyond = sum(1 for w in plain if not w.isascii())
-        text, units = plain + pairs, [1] * len(plain) + [2] * len(marked)
-        joined = np.concatenate([self._ids(self.library, plain[:beyond]), self._ids(self.bare, plain[beyond:]), self._ids(self.library, pairs)])
-        plain = plain + marked
+    def _learn(self, letters: list[str], other: list[str]) -> None:
+        """Units of letters alone are encoded in texts of many, as the last id of one ends a word. The others are encoded
+        each. They are numbered in this order."""
+        plain = [w for w in letters if w.isascii()]
+        beyond = [w for w in letters if not w.isascii()]
+        mapped = _MAPPED[np.frombuffer("\n".join(beyond).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n") if beyond else []
+        if self.bytewise:
+            joined = self._ids(self.bare, plain + mapped)
+        else:
+            joined = np.concatenate([self._ids(self.bare, plain), self._ids(self.library, beyond)])
+        letters = plain + beyond
         ends = np.flatnonzero(self.ends[joined])
-        if len(ends) != len(text):  # not so with this vocabulary
-            plain, units, other, joined = [], [], words, joined[:0]
-        size = np.diff(ends[np.cumsum(units, dtype=np.int64) - 1], prepend=-1) if plain else np.zeros(0, np.int64)
+        if len(ends) != len(letters):  # not so with this vocabulary
+            letters, other, ends, joined = [], letters + other, ends[:0], joined[:0]
         ids = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
-        size = np.concatenate([size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        rest = np.fromiter(chain.from_iterable(ids), np.uint32, int(size[len(plain) :].sum()))
-        self.number.update(zip(chain(plain, other), range(len(self.number), len(self.number) + len(words)), strict=True))
+        size = np.concatenate([np.diff(ends, prepend=-1), np.fromiter(map(len, ids), np.int64, len(ids))])
+        rest = np.fromiter(chain.from_iterable(ids), np.uint32, int(size[len(letters) :].sum()))
+        self.number.update(zip(chain(letters, other), range(len(self.number), len(self.number) + len(size)), strict=True))
         self.flat = np.concatenate([self.flat, joined, rest])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
-
-    def encode(self, texts: list[str], plain: np.ndarray) -> list[np.ndarray]:
-        """plain: whether a text has only characters that are cut at blanks here as the library cuts them."""
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
+
+    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts."""
+        inside, starts, ends, between = units(texts)
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        cut = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(inside)).dictionary_encode()
+        which, (bounds, letters) = cut.indices.to_numpy(), buffers_of(cut.dictionary)
+        distinct = np.insert(letters, bounds[1:], ord("\n")).tobytes().decode().split("\n")[:-1]
+        k = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(k < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown]
+            self._learn([w for w in new if w.isalpha()], [w for w in new if not w.isalpha()])
+            k[unknown] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        self.seen[k] += np.bincount(which, minlength=len(k))
+        # the ids of the distinct units, then those of all
+        size = self.begin[k + 1] - self.begin[k]
+        first = np.cumsum(size) - size
+        own = self.flat[np.repeat(self.begin[k] - first, size) + np.arange(size.sum())]
+        sizes = size[which]
+        after = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = own[np.repeat(first[which] - after[:-1], sizes) + np.arange(after[-1])]
+        return np.split(flat, after[np.searchsorted(starts, between)])
+
+    def encode_bytes(self, texts: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
+        """plain: whether a text has only characters that are cut here as the library cuts them."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         rest = [i for i in range(len(texts)) if not plain[i]]
-        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
         if len(self.number) > CACHED:
             self.forget(CACHED // 2)
         own = [i for i in range(len(texts)) if plain[i]]
-        cut = [texts[i].lower().split() for i in own]
-        words = list(chain.from_iterable(cut))
-        new = list(set(words).difference(self.number))
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        self.seen += np.bincount(k, minlength=len(self.seen))
-        size = self.begin[k + 1] - self.begin[k]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.repeat(self.begin[k] - ends[:-1], size) + np.arange(ends[-1])]
-        bounds = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
-        for n, i in enumerate(own):
-            out[i] = flat[bounds[n] : bounds[n + 1]]
+        if own:
+            for i, ids in zip(own, self._cut([texts[i] for i in own]), strict=True):
+                out[i] = ids
         return out
 
+    def encode(self, texts: list[str], plain: np.ndarray) -> list[np.ndarray]:
+        return self.encode_bytes([t.encode() for t in texts], plain)
+
+
+BLANK, LETTER, MARK, OTHER = range(4)
+_KIND = np.full(256, OTHER, np.uint8)  # of the bytes of lower-cased texts; 0 stands between two texts
+_KIND[[0, *range(9, 14), 32]] = BLANK
+_KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC3, 0xCB)]] = LETTER  # U+00C0 to U+02BF: letters but for two signs
+_KIND[list(MARKS.encode())] = MARK
+
+
+def _mapped() -> np.ndarray:
+    """The library's characters for bytes, but for the line feed, which stands between units here."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.arange(256, dtype="<u2")
+    hidden = np.setdiff1d(out, shown)
+    out[hidden] = 256 + np.arange(len(hidden))
+    out[10] = 10
+    return out
+
+
+_MAPPED = _mapped()
+
+
+def lowered(texts: list[bytes]) -> np.ndarray:
+    """The lower-cased bytes of texts of characters up to U+02FF, a 0 between two."""
+    joined = b"\0".join(texts)
+    if joined and np.frombuffer(joined, np.uint8).max() > 0xC3:  # characters from U+0100 on
+        joined = joined.decode().lower().encode()
+    data = np.frombuffer(bytearray(joined.lower()), np.uint8)
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1  # U+00C0 to U+00FF
+    capital = second[(data[second] <= 0x9E) & (data[second] != 0x97)]
+    data[capital] += 0x20
+    return data
+
+
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of plain texts: words, those of letters with marks behind as two. Their lower-cased bytes, one unit behind
+    the other; where they begin and end in all bytes; and where one text ends and the next begins."""
+    data = lowered(texts)
+    kind = _KIND[data]
+    signs = np.flatnonzero((data[1:] == 0x97) | (data[1:] == 0xB7)) + 1
+    kind[signs[data[signs - 1] == 0xC3]] = OTHER  # U+00D7 and U+00F7
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = kind != BLANK
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    at = np.flatnonzero(kind >= MARK)
+    word = np.searchsorted(starts, at, "right") - 1
+    first = np.flatnonzero(np.diff(word, prepend=-1))  # of each word's
+    if len(first):
+        marks = np.add.reduceat((kind[at] == MARK).astype(np.int64), first)
+        at, word = at[first], word[first]
+        two = (at > starts[word]) & (marks == ends[word] - at)
+        starts, ends = np.insert(starts, word[two] + 1, at[two]), np.insert(ends, word[two], at[two])
+    return data[inside[1:-1]], starts, ends, np.flatnonzero(data == 0)
+
 
 _ALONE = np.ones(256, dtype=bool)  # bytes of characters up to U+02FF, without controls and U+0080-U+00BF
 _ALONE[[*range(9), *range(14, 32), 127, 0xC2, *range(0xCC, 256)]] = False
@@ -149,10 +218,10 @@ def encoded(column: pa.Array, path: str, most: int = 1 << 20):
     encoder = _encoders[path]
     offsets, data = buffers_of(column)
     for a, b in pieces(offsets, most):
-        odd = np.concatenate([[0], np.cumsum(~_ALONE[data[offsets[a] : offsets[b]]])])
-        at = offsets[a : b + 1] - offsets[a]
-        texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-        yield a, b, [np.append(ids, np.uint32(END)) for ids in encoder.encode(texts, odd[at[1:]] == odd[at[:-1]])]
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        odd = np.searchsorted(np.flatnonzero(~_ALONE[part]), at)
+        texts = [part[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        yield a, b, [np.append(ids, np.uint32(END)) for ids in encoder.encode_bytes(texts, odd[1:] == odd[:-1])]
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
